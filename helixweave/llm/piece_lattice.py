@@ -150,7 +150,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         return pa.table({"chunk": pa.array([group["chunk"][0].as_py()] * len(seen), pa.int64()), "word": pa.array(list(seen), pa.string())})
 
     sent = by_chunk.applyInArrow(spelled, "chunk long, word string")
-    coded = encoded_words(sent.select("word").distinct(), path)
+    # a word is few bytes but much work, so its partitions follow the texts' chunks
+    coded = encoded_words(sent.select("word").repartition(n, "word").distinct(), path)
     back = sent.join(coded, "word").select("chunk", "word", "ids").repartition(n, "chunk").groupBy("chunk")
     _, first_byte, raw = pieces(path)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
