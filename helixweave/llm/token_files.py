@@ -44,7 +44,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", tex
         bpe, proven = wordbpe.load(path), whole.value
         end = np.array([end_id], bpe.dtype).tobytes()
         for batch in batches:
-            toks = [(bpe.encode_packed(t, proven) if t else b"") + end for t in batch.column(1).to_pylist()]
+            toks = bpe.encode_many(batch.column(1).to_pylist(), proven, end)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(toks, pa.binary())], names=["id", "toks"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

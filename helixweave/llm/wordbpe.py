@@ -25,7 +25,9 @@ LATIN = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
 )
 #: Merged pre-tokens remembered by a worker before it starts over.
-MEMO = 200_000
+MEMO = 400_000
+#: Characters of texts that are split before their pre-tokens are looked up.
+PART = 1 << 20
 
 
 @functools.cache
@@ -83,6 +85,8 @@ class WordBpe:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.memo: dict[str, tuple[int, ...]] = {}
         self.packed: dict[str, bytes] = {}
+        self.is_end = np.zeros(self.size, bool)
+        self.is_end[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
 
     def merge(self, pretoken: str) -> tuple[int, ...]:
         """Ids of one pre-token, by merging."""
@@ -140,29 +144,51 @@ class WordBpe:
                 n += k * (len(ids) - 1)
         return n
 
-    def _pack(self, pretoken: str) -> bytes:
-        return np.array(self.merge(pretoken), self.dtype).tobytes()
+    def learn(self, fresh: list[str], memo: dict[str, bytes]) -> None:
+        """Packed ids of pre-tokens into memo. Latin ones are merged many at a time: joined by spaces they stay apart."""
+        plain = [t for t in fresh if latin(t)]
+        for t in {*fresh}.difference(plain):
+            memo[t] = np.array(self.merge(t), self.dtype).tobytes()
+        joined = [" ".join(plain[k : k + 500]) for k in range(0, len(plain), 500)]
+        found = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.empty(0, self.dtype)
+        cuts = np.flatnonzero(self.is_end[ids]) + 1
+        if len(cuts) != len(plain):
+            raise ValueError("joined pre-tokens don't stay apart")
+        raw, size, at = ids.tobytes(), self.dtype.itemsize, 0
+        for t, end in zip(plain, cuts.tolist(), strict=True):
+            memo[t] = raw[at : end * size]
+            at = end * size
+
+    def encode_many(self, texts: list[str | None], whole: dict[str, bytes], end: bytes = b"") -> list[bytes]:
+        """Ids of each text, packed as self.dtype, and end. Only what isn't proven whole is merged, and remembered."""
+        out: list[bytes] = []
+        if len(self.packed) < len(whole) or len(self.packed) > MEMO:
+            self.packed = dict(whole)
+        k = 0
+        while k < len(texts):
+            stop, size = k, 0
+            while stop < len(texts) and size < PART:
+                size += len(texts[stop] or "")
+                stop += 1
+            split = [[] if not t else None if self.unknown(t) else list(self.parts(t)) for t in texts[k:stop]]
+            memo = self.packed
+            fresh = {t for parts in split for _, found in parts or () for t in found or () if t not in memo}
+            if fresh:
+                self.learn(list(fresh), memo)
+            for t, parts in zip(texts[k:stop], split, strict=True):
+                if parts is None:
+                    ids = np.array(self.library.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
+                else:
+                    ids = b"".join([b"".join([memo[x] for x in found]) if found is not None else np.array([i], self.dtype).tobytes() for i, found in parts])
+                out.append(ids + end)
+            k = stop
+            if len(memo) > MEMO:
+                self.packed = dict(whole)
+        return out
 
     def encode_packed(self, text: str, whole: dict[str, bytes]) -> bytes:
-        """Ids of a text as packed little-endian integers of self.dtype."""
-        out: list[bytes] = []
-        packed = self.packed
-        if self.unknown(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        for special, found in self.parts(text):
-            if found is None:
-                out.append(np.array([special], self.dtype).tobytes())
-                continue
-            for t in found:
-                ids = whole.get(t)
-                if ids is None:
-                    ids = packed.get(t)
-                    if ids is None:
-                        if len(packed) >= MEMO:
-                            packed.clear()
-                        ids = packed[t] = self._pack(t)
-                out.append(ids)
-        return b"".join(out)
+        return self.encode_many([text], whole)[0]
 
 
 @functools.lru_cache(maxsize=2)
