@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,8 +12,10 @@ def masked(x: Column, bits: int) -> Column:
     return x.bitwiseAND((1 << bits) - 1)
 
 
-def hash64(x: Column, bits: int) -> Column:
-    """The invertible integer mixer over bits (at most 62) bits. Sums are masked pairwise, so nothing overflows."""
+def hash_steps(bits: int) -> list[Callable[[Column], Column]]:
+    """The invertible integer mixer over bits (at most 62) bits, as steps to apply in turn: each names its argument
+    two or three times, so they are applied as columns or lambdas of their own, never nested. Sums are masked
+    pairwise, so nothing overflows."""
 
     def up(v: Column, n: int) -> Column:
         # what a shift would push past the mask is cut first
@@ -20,14 +24,31 @@ def hash64(x: Column, bits: int) -> Column:
     def add(a: Column, b: Column) -> Column:
         return masked(a + b, bits)
 
-    def down(v: Column, n: int) -> Column:
-        return v.bitwiseXOR(F.shiftrightunsigned(v, n))
+    def down(n: int) -> Callable[[Column], Column]:
+        return lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, n))
+
+    return [
+        lambda x: add(masked(F.bitwise_not(x), bits), up(x, 21)), down(24),
+        lambda x: add(add(x, up(x, 3)), up(x, 8)), down(14),
+        lambda x: add(add(x, up(x, 2)), up(x, 4)), down(28),
+        lambda x: add(x, up(x, 31)),
+    ]
+
+
+def with_hash(df: DataFrame, code: str, bits: int, out: str = "hash") -> DataFrame:
+    """df with the mixed code."""
+    df = df.withColumn(out, masked(F.col(code).cast("long"), bits))
+    for step in hash_steps(bits):
+        df = df.withColumn(out, step(F.col(out)))
+    return df
+
 
-    x = masked(x.cast("long"), bits)
-    x = down(add(masked(F.bitwise_not(x), bits), up(x, 21)), 24)
-    x = down(add(add(x, up(x, 3)), up(x, 8)), 14)
-    x = down(add(add(x, up(x, 2)), up(x, 4)), 28)
-    return add(x, up(x, 31))
+def hash_array(codes: Column, bits: int) -> Column:
+    """Each value of an array mixed."""
+    codes = F.transform(codes, lambda x: masked(x, bits))
+    for step in hash_steps(bits):
+        codes = F.transform(codes, step)
+    return codes
 
 
 def base_code(kmer: Column) -> Column:

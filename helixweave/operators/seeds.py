@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixweave.functions.bits import base_code, hash64
+from helixweave.functions.bits import base_code, hash_array, with_hash
 
 
 def base_kmers(seqs: DataFrame, k: int, key: str = "read", seq: str = "seq") -> DataFrame:
     """key, pos, hash of each k-mer of ACGT letters (case ignored)."""
     if not 1 <= k <= 31:
         raise ValueError("k must be 1 to 31: two bits a base, in a signed 64-bit integer")
-    at = seqs.where(F.length(seq) >= k).select(key, seq, F.explode(F.sequence(F.lit(1), F.length(seq) - k + 1)).alias("p"))
+    # sequences are dealt by key before they are exploded: windows over key need no shuffle of k-mers then
+    n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = seqs.where(F.length(seq) >= k).repartition(n, key).select(key, seq, F.explode(F.sequence(F.lit(1), F.length(seq) - k + 1)).alias("p"))
     code = at.select(key, (F.col("p") - 1).cast("long").alias("pos"), base_code(F.substring(F.col(seq), F.col("p"), F.lit(k))).alias("code"))
-    return code.select(key, "pos", hash64(F.col("code"), 2 * k).alias("hash"))
+    return with_hash(code, "code", 2 * k).select(key, "pos", "hash")
 
 
 def minimizers(kmers: DataFrame, w: int, key: str = "read") -> DataFrame:
@@ -31,6 +33,6 @@ def token_kmers(tokens: Column, k: int, bits: int, stride: int = 1) -> Column:
     """array<struct<idx, hash>> of runs of k tokens in an array of tokens; runs with a null token are skipped."""
     n = F.size(tokens) - k
     pack = lambda i: F.aggregate(F.slice(tokens, i + 1, k), F.lit(0).cast("long"), lambda a, t: (a * (1 << bits) + t).bitwiseAND((1 << min(k * bits, 62)) - 1))
-    found = F.transform(F.when(n >= 0, F.sequence(F.lit(0), n, F.lit(stride))).otherwise(F.array().cast("array<int>")),
-                        lambda i: F.struct(i.cast("long").alias("idx"), hash64(pack(i), 32).alias("hash")))
-    return F.filter(found, lambda x: x["hash"].isNotNull())
+    starts = F.when(n >= 0, F.sequence(F.lit(0), n, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    hashes = hash_array(F.transform(starts, pack), 32)
+    return F.filter(F.arrays_zip(F.transform(starts, lambda i: i.cast("long")).alias("idx"), hashes.alias("hash")), lambda x: x["hash"].isNotNull())
