@@ -149,8 +149,14 @@ def candidates(reps: DataFrame, where: str, recall: float, threshold: float) ->
         for group in runs(batches, ["bucket", "i", "j"]):
             docs = group["doc"].to_numpy()
             sketch = (np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(-1, T) & np.uint32(255)).astype(np.uint8)
-            root = local_roots(len(docs), lambda k, rows, s=sketch: (s[rows] == s[k]).mean(1) >= LOOSE)
+            alike = lambda k, rows, s=sketch: (s[rows] == s[k]).mean(1) >= LOOSE
+            root, own = local_roots(len(docs), alike), group["own"].to_numpy()
             far = docs[root] != docs
+            if group["i"][0] != group["j"][0]:  # what hangs together within a block is linked in its own pair: one edge for each such part
+                for side in (group["i"][0].as_py(), group["j"][0].as_py()):
+                    at = np.flatnonzero(own == side)
+                    part = local_roots(len(at), lambda k, rows, at=at, s=sketch: (s[at[rows]] == s[at[k]]).mean(1) >= LOOSE)
+                    far[at[part != np.arange(len(at))]] = False
             yield pa.RecordBatch.from_arrays([pa.array(docs[far]), pa.array(docs[root][far])], names=["a", "b"])
 
     shape = "bucket long, doc long"
@@ -168,7 +174,7 @@ def candidates(reps: DataFrame, where: str, recall: float, threshold: float) ->
         if large.isEmpty():
             break
         nodes = large.select("bucket", "doc").join(reps.select("doc", "sig"), "doc").select("bucket", "doc", "sig").mapInArrow(split, shape)
-    dealt = in_blocks(leaves, "bucket", "n", BLOCK).join(reps.select("doc", "sig"), "doc").select("bucket", "i", "j", "doc", "sig")
+    dealt = in_blocks(leaves, "bucket", "n", BLOCK).join(reps.select("doc", "sig"), "doc").select("bucket", "i", "j", "own", "doc", "sig")
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(linked, "a long, b long").distinct()
 
 
