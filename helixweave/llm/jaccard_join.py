@@ -175,7 +175,8 @@ def candidates(reps: DataFrame, where: str, recall: float, threshold: float) ->
             break
         nodes = large.select("bucket", "doc").join(reps.select("doc", "sig"), "doc").select("bucket", "doc", "sig").mapInArrow(split, shape)
     dealt = in_blocks(leaves, "bucket", "n", BLOCK).join(reps.select("doc", "sig"), "doc").select("bucket", "i", "j", "own", "doc", "sig")
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(linked, "a long, b long").distinct()
+    # in order of doc, each part's root is its smallest doc, so many trees give the same link and distinct() keeps it once
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc").mapInArrow(linked, "a long, b long").distinct()
 
 
 def verified(texts: DataFrame, span: int, threshold: float) -> DataFrame:
@@ -211,7 +212,7 @@ def verified(texts: DataFrame, span: int, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(docs[root]), pa.array(count.sum(1).astype(np.int64))], names=["doc", "root", "links"])
 
     dealt = in_blocks(texts, "grp", "n", BLOCK)
-    return (dealt.select("grp", "i", "j", "own", "doc", "text").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return (dealt.select("grp", "i", "j", "own", "doc", "text").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "doc")
             .mapInArrow(verify, "doc long, root long, links long"))
 
 
