@@ -8,8 +8,9 @@ table (broadcast: bounded by the vocabulary); the edges of a word are grouped an
 - BPE models: edges in order of rank, each merging the two symbols that it spans at its turn. Viterbi would
   maximise another quantity than BPE does and give other ids than the library, so it isn't used for these.
 
-Characters without a piece become their bytes' pieces. Documents are dealt by a hash of their id over chunks;
-each chunk sends its distinct words once and gets their ids back. Decoding looks pieces up by id.
+Characters without a piece become their bytes' pieces. Documents are dealt by a hash of their id over chunks, the
+only shuffle: a chunk's distinct words have their lattices where the chunk is, so a word of many documents is no
+hot key, at the price of its lattice in each chunk that has it. Decoding looks pieces up by id.
 
 Null and empty texts have no ids and decode to the empty text. Rows of equal id are encoded each by its own
 text. Other columns are ignored.
@@ -50,13 +51,14 @@ def pieces(path: str) -> tuple[list[tuple[str, int, float]], int, list[bytes]]:
 
 
 def edges(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """words: word. word, n (characters), edges array<struct<rank, s, e, id, score>> in order of (rank, s)."""
-    at = words.select("word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
-    sub = at.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1))).alias("l"))
+    """words: distinct rows of word and others. These, n (characters), edges array<struct<rank, s, e, id, score>> in order of (rank, s)."""
+    own = words.columns
+    at = words.select(*own, F.length("word").alias("n"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
+    sub = at.select(*own, "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1))).alias("l"))
     sub = sub.withColumn("piece", F.substring("word", F.col("s"), F.col("l")))
     found = sub.join(F.broadcast(table), "piece", "left").where("id is not null or l = 1")
     edge = F.struct(F.coalesce("rank", F.lit(-1)).alias("rank"), "s", (F.col("s") + F.col("l")).alias("e"), F.col("id"), F.col("score"))
-    return found.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    return found.groupBy(*own).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def due(ends: Column, x: Column) -> Column:
@@ -112,7 +114,7 @@ def viterbi(lattice: DataFrame, unknown: float = -1e4) -> DataFrame:
 
 
 def encoded_words(words: DataFrame, path: str, unigram: bool = False, table: list | None = None, byte_id: int | None = None) -> DataFrame:
-    """words: word (distinct). word, ids array<int>."""
+    """words: distinct rows of word and others. These and ids array<int>."""
     rows, first, _ = pieces(path) if table is None else (table, byte_id, None)
     spark = words.sparkSession
     ranked = sorted(rows, key=lambda r: (-r[2], r[1]))
@@ -125,7 +127,7 @@ def encoded_words(words: DataFrame, path: str, unigram: bool = False, table: lis
     spelled = lambda s: F.transform(F.sequence(F.lit(0), (F.length(hexa(s)) / 2 - 1).cast("int")), lambda k: F.conv(F.substring(hexa(s), 2 * k + 1, F.lit(2)), 16, 10).cast("int") + first)
     ids = F.when(F.exists("taken", lambda x: x["id"].isNull()), F.flatten(F.transform("taken", lambda x: F.when(
         x["id"].isNotNull(), F.array(x["id"])).otherwise(spelled(x["s"]))))).otherwise(F.transform("taken", lambda x: x["id"]))
-    return lattice.select("word", ids.alias("ids"))
+    return lattice.select(*words.columns, ids.alias("ids"))
 
 
 def marked(text: str) -> str:
@@ -140,19 +142,12 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
         F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).alias("chunk"),
     ).repartition(n, "chunk")
-    by_chunk = dealt.groupBy("chunk")
-
-    def spelled(group: pa.Table) -> pa.Table:
-        seen: dict[str, None] = {}
-        for t in group["text"].to_pylist():
-            if t:
-                seen.update(dict.fromkeys(WORD.findall(marked(t))))
-        return pa.table({"chunk": pa.array([group["chunk"][0].as_py()] * len(seen), pa.int64()), "word": pa.array(list(seen), pa.string())})
-
-    sent = by_chunk.applyInArrow(spelled, "chunk long, word string")
-    # a word is few bytes but much work, so its partitions follow the texts' chunks
-    coded = encoded_words(sent.select("word").repartition(n, "word").distinct(), path)
-    back = sent.join(coded, "word").select("chunk", "word", "ids").repartition(n, "chunk").groupBy("chunk")
+    spelled = F.regexp_extract_all(F.concat(F.lit(MARK), F.replace(F.col("text"), F.lit(" "), F.lit(MARK))), F.lit(WORD.pattern), F.lit(0))
+    spelled = F.when(F.col("text") != "", F.array_distinct(spelled))
+    # explode_outer, as no filter is inferred for it, and some id with each word: so this branch reads the same shuffle as the texts
+    sent = dealt.select(F.col("chunk").alias("part"), "id", F.explode_outer(spelled).alias("word"))
+    sent = sent.where("word is not null").groupBy("part", "word").agg(F.min("id").alias("first"))
+    back = encoded_words(sent, path).groupBy("part")
     _, first_byte, raw = pieces(path)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
@@ -176,7 +171,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         return pa.table(out | ({"ids": pa.array(cols["ids"], pa.list_(pa.int32()))} if ids else {}))
 
     shape = f"`{id_col}` long, n_tokens long, ids_crc32 long, n_byte_tokens long, round_trip boolean" + ", ids array<int>" * ids
-    return by_chunk.cogroup(back).applyInArrow(joined, shape)
+    return dealt.groupBy("chunk").cogroup(back).applyInArrow(joined, shape)
 
 
 def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
