@@ -31,7 +31,8 @@ from .shared import chunks, tokenizer_path
 
 MARK = "▁"
 WORD = re.compile("▁*[^▁\n]+|▁+|\n")
-CHUNK_BYTES = 8 << 20
+#: Of stored text; a chunk's words all have their edges sorted in one task.
+CHUNK_BYTES = 2 << 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -50,15 +51,27 @@ def pieces(path: str) -> tuple[list[tuple[str, int, float]], int, list[bytes]]:
     return table, first, raw
 
 
-def edges(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """words: distinct rows of word and others. These, n (characters), edges array<struct<rank, s, e, id, score>> in order of (rank, s)."""
+def edges(words: DataFrame, ranked: list[tuple[str, int, float]], longest: int) -> DataFrame:
+    """words: distinct rows of word and others. These, n (characters), edges array<struct<rank, s, e, id, score>> in order of (rank, s).
+
+    Until a word's edges are together, each is one long of rank + 1 (27 bits), start (24) and length (12): the sort behind the
+    grouping then holds little. Ranks become ids and scores by two constant arrays.
+    """
     own = words.columns
-    at = words.select(*own, F.length("word").alias("n"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
-    sub = at.select(*own, "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1))).alias("l"))
+    table = words.sparkSession.createDataFrame([(p, k + 1) for k, (p, _, _) in enumerate(ranked)], "piece string, turn int").coalesce(1)
+    at = words.select(*own, F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
+    sub = at.select(*own, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s") + 1))).alias("l"))
     sub = sub.withColumn("piece", F.substring("word", F.col("s"), F.col("l")))
-    found = sub.join(F.broadcast(table), "piece", "left").where("id is not null or l = 1")
-    edge = F.struct(F.coalesce("rank", F.lit(-1)).alias("rank"), "s", (F.col("s") + F.col("l")).alias("e"), F.col("id"), F.col("score"))
-    return found.groupBy(*own).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    found = sub.join(F.broadcast(table), "piece", "left").where("turn is not null or l = 1")
+    packed = F.shiftleft(F.coalesce("turn", F.lit(0)).cast("long"), 36).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 12)).bitwiseOR(F.col("l").cast("long"))
+    grouped = found.groupBy(*own).agg(F.sort_array(F.collect_list(packed)).alias("packed"))
+    ids, scores = (F.expr(f"cast(split('{','.join(map(str, x))}', ',') as array<{kind}>)") for x, kind in (([i for _, i, _ in ranked], "int"), ([w for _, _, w in ranked], "double")))
+
+    def edge(x: Column) -> Column:
+        rank, s = (F.shiftrightunsigned(x, 36) - 1).cast("int"), F.shiftrightunsigned(x, 12).bitwiseAND((1 << 24) - 1).cast("int")
+        return F.struct(rank.alias("rank"), s.alias("s"), (s + x.bitwiseAND(4095).cast("int")).alias("e"), F.get(ids, rank).alias("id"), F.get(scores, rank).alias("score"))
+
+    return grouped.select(*own, F.length("word").alias("n"), F.transform("packed", edge).alias("edges"))
 
 
 def due(ends: Column, x: Column) -> Column:
@@ -116,10 +129,8 @@ def viterbi(lattice: DataFrame, unknown: float = -1e4) -> DataFrame:
 def encoded_words(words: DataFrame, path: str, unigram: bool = False, table: list | None = None, byte_id: int | None = None) -> DataFrame:
     """words: distinct rows of word and others. These and ids array<int>."""
     rows, first, _ = pieces(path) if table is None else (table, byte_id, None)
-    spark = words.sparkSession
     ranked = sorted(rows, key=lambda r: (-r[2], r[1]))
-    known = spark.createDataFrame([(p, i, float(w), k) for k, (p, i, w) in enumerate(ranked)], "piece string, id int, score double, rank int").coalesce(1)
-    lattice = edges(words, known, max(len(p) for p, _, _ in rows))
+    lattice = edges(words, ranked, max(len(p) for p, _, _ in rows))
     lattice = (viterbi if unigram else merged)(lattice)
     taken = F.sort_array(F.transform(F.filter("edges", lambda x: F.get("ends", x["s"] - 1) == x["e"]), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
     lattice = lattice.withColumn("taken", taken)
