@@ -1,16 +1,16 @@
 """Op 6, SentencePiece encoding and decoding: a relational lattice.
 
 Texts are cut into words (runs of the space mark with what follows, line ends alone) that no piece crosses.
-Distinct words are exploded into substrings no longer than the longest piece and equi-joined with the piece
-table (broadcast: bounded by the vocabulary); the edges of a word are grouped and folded with ``aggregate``:
+The distinct words of all documents are exploded into substrings no longer than the longest piece and equi-joined with
+the piece table (broadcast: bounded by the vocabulary); the edges of a word are grouped and folded with ``aggregate``:
 
 - unigram models: Viterbi, the best sum of scores at each end;
 - BPE models: edges in order of rank, each merging the two symbols that it spans at its turn. Viterbi would
   maximise another quantity than BPE does and give other ids than the library, so it isn't used for these.
 
-Characters without a piece become their bytes' pieces. Documents are dealt by a hash of their id over chunks, the
-only shuffle: a chunk's distinct words have their lattices where the chunk is, so a word of many documents is no
-hot key, at the price of its lattice in each chunk that has it. Decoding looks pieces up by id.
+Characters without a piece become their bytes' pieces. Documents are dealt by a hash of their id over chunks; a chunk
+asks for each of its distinct words once, so a word of many documents makes as many rows as there are chunks, and
+texts are shuffled once. Decoding looks pieces up by id.
 
 Null and empty texts have no ids and decode to the empty text. Rows of equal id are encoded each by its own
 text. Other columns are ignored.
@@ -19,6 +19,7 @@ text. Other columns are ignored.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, tokenizer_path
+from .shared import chunks, scratch, staged, tokenizer_path
 
 MARK = "▁"
 WORD = re.compile("▁*[^▁\n]+|▁+|\n")
-#: Of stored text; a chunk's words all have their edges sorted in one task.
-CHUNK_BYTES = 2 << 20
+#: Of stored text in a chunk; distinct words whose edges one task sorts.
+CHUNK_BYTES, PART_WORDS = 8 << 20, 20_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -51,65 +52,64 @@ def pieces(path: str) -> tuple[list[tuple[str, int, float]], int, list[bytes]]:
     return table, first, raw
 
 
-def edges(words: DataFrame, ranked: list[tuple[str, int, float]], longest: int) -> DataFrame:
-    """words: distinct rows of word and others. These, n (characters), edges array<struct<rank, s, e, id, score>> in order of (rank, s).
+def odd_pieces(rank: dict[str, int]) -> set[str]:
+    """Pieces that rank before a part of theirs: only these can come due after their turn."""
+    late = lambda p, part: len(part) > 1 and rank[part] > rank[p]
+    return {p for p in rank for i in range(1, len(p)) if p[:i] in rank and p[i:] in rank and (late(p, p[:i]) or late(p, p[i:]))}
 
-    Until a word's edges are together, each is one long of rank + 1 (27 bits), start (24) and length (12): the sort behind the
-    grouping then holds little. Ranks become ids and scores by two constant arrays.
-    """
-    own = words.columns
-    table = words.sparkSession.createDataFrame([(p, k + 1) for k, (p, _, _) in enumerate(ranked)], "piece string, turn int").coalesce(1)
-    at = words.select(*own, F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
-    sub = at.select(*own, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s") + 1))).alias("l"))
-    sub = sub.withColumn("piece", F.substring("word", F.col("s"), F.col("l")))
-    found = sub.join(F.broadcast(table), "piece", "left").where("turn is not null or l = 1")
-    packed = F.shiftleft(F.coalesce("turn", F.lit(0)).cast("long"), 36).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 12)).bitwiseOR(F.col("l").cast("long"))
-    grouped = found.groupBy(*own).agg(F.sort_array(F.collect_list(packed)).alias("packed"))
-    ids, scores = (F.expr(f"cast(split('{','.join(map(str, x))}', ',') as array<{kind}>)") for x, kind in (([i for _, i, _ in ranked], "int"), ([w for _, _, w in ranked], "double")))
-
-    def edge(x: Column) -> Column:
-        rank, s = (F.shiftrightunsigned(x, 36) - 1).cast("int"), F.shiftrightunsigned(x, 12).bitwiseAND((1 << 24) - 1).cast("int")
-        return F.struct(rank.alias("rank"), s.alias("s"), (s + x.bitwiseAND(4095).cast("int")).alias("e"), F.get(ids, rank).alias("id"), F.get(scores, rank).alias("score"))
 
-    return grouped.select(*own, F.length("word").alias("n"), F.transform("packed", edge).alias("edges"))
+#: An edge as one long, in order of turn (rank + 1, 0: no piece; 20 bits), start (30), length (12) and whether it is odd (1).
+TURN, START, LENGTH, ODD = "shiftrightunsigned({x}, 43)", "cast(shiftrightunsigned({x}, 13) & 1073741823 as int)", "cast(shiftrightunsigned({x}, 1) & 4095 as int)", "({x} & 1) = 1"
 
 
-def due(ends: Column, x: Column) -> Column:
-    """Whether an edge spans two symbols just now."""
-    mid = F.get(ends, x["s"] - 1)
-    return (mid > 0) & (mid < x["e"]) & (F.get(ends, mid - 1) == x["e"])
+def edges(words: DataFrame, ranked: list[tuple[str, int, float]]) -> DataFrame:
+    """words: distinct rows of word. These with packed, their edges as sorted longs; h, a hash of the word, leads the keys so that the sort behind the grouping compares longs."""
+    rank = {p: k for k, (p, _, _) in enumerate(ranked)}
+    odd, longest = odd_pieces(rank), max(map(len, rank))
+    table = words.sparkSession.createDataFrame([(p, (k + 1 << 43) + (p in odd)) for p, k in rank.items()], "piece string, turn long").coalesce(1)
+    at = words.select("h", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
+    sub = at.select("h", "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s") + 1))).alias("l"))
+    sub = sub.withColumn("piece", F.substring("word", F.col("s"), F.col("l")))
+    found = sub.join(F.broadcast(table), "piece", "left").where("turn is not null or l = 1")
+    packed = F.coalesce("turn", F.lit(0).cast("long")).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 13)).bitwiseOR(F.shiftleft(F.col("l").cast("long"), 1))
+    return found.groupBy("h", "word").agg(F.sort_array(F.collect_list(packed)).alias("packed"))
 
 
-def merge(ends: Column, x: Column) -> Column:
-    mid = F.get(ends, x["s"] - 1)
-    return F.transform(ends, lambda v, i: F.when(i == x["s"] - 1, x["e"]).when(i == mid - 1, F.lit(0)).otherwise(v))
+def over(cuts: str, x: str, shape: str) -> str:
+    """Whether the cuts that edge x spans, both ends included, have this shape."""
+    return f"cast(substring({cuts}, {START.format(x=x)}, {LENGTH.format(x=x)} + 1) as string) rlike '{shape}'"
 
 
 def merged(lattice: DataFrame) -> DataFrame:
-    """BPE: lattice with ends, where the symbol that begins at each place ends (0: none begins there)."""
-    long_edges = F.filter("edges", lambda x: x["e"] - x["s"] > 1)
-    start = F.sequence(F.lit(2), F.col("n") + 1)
-    lattice = lattice.withColumn("pairs", long_edges)
-    once = F.aggregate("pairs", start, lambda ends, x: F.when(due(ends, x), merge(ends, x)).otherwise(ends))
-    lattice = lattice.withColumn("once", once)
-
-    def step(ends: Column, _: Column) -> Column:
-        first = F.get(F.filter("pairs", lambda x: due(ends, x)), F.lit(0))
-        return F.when(first.isNull(), ends).otherwise(merge(ends, first))
+    """BPE: lattice with cuts, a byte for each place between characters: 1 where a symbol begins or the word ends, else 0.
 
-    # an edge skipped at its turn may come due later, in odd vocabularies: then step by step
-    slow = F.aggregate(F.sequence(F.lit(1), F.col("n")), start, step)
-    return lattice.withColumn("ends", F.when(F.exists("pairs", lambda x: due(F.col("once"), x)), slow).otherwise(F.col("once")))
-
-
-def viterbi(lattice: DataFrame, unknown: float = -1e4) -> DataFrame:
-    """Unigram: lattice with ends of the best path's pieces, as in ``merged``. Ties go to the edge that begins first."""
-    n = F.col("n")
+    An edge is due if it has one cut inside. One fold in order of (rank, start) is BPE as long as no edge comes due
+    after its turn; the fold looks for that after each merge, and a word where it happens is merged step by step,
+    the first edge due each time.
+    """
+    due = lambda cuts, x: over(cuts, x, "^10*10*1$")
+    fused = lambda cuts, x: f"overlay({cuts} placing cast(repeat('0', {LENGTH.format(x=x)} - 1) as binary) from {START.format(x=x)} + 1)"
+    start = "cast(repeat('1', length(word) + 1) as binary)"
+    lattice = lattice.withColumn("pairs", F.expr(f"filter(packed, x -> {LENGTH.format(x='x')} > 1)")).withColumn("odds", F.expr(f"filter(pairs, x -> {ODD.format(x='x')})"))
+    late = f"exists(odds, y -> y < x and {due(fused('a.cuts', 'x'), 'y')})"
+    lattice = lattice.withColumn("once", F.expr(f"""aggregate(pairs, struct({start} as cuts, false as late), (a, x) ->
+        if(not a.late and {due('a.cuts', 'x')}, struct({fused('a.cuts', 'x')} as cuts, {late} as late), a))"""))
+    # an edge of one character fuses nothing: the last merge has been made
+    step = f"transform(slice(filter(pairs, x -> {due('c', 'x')}), 1, 1), x -> {fused('c', 'x')})"
+    slow = f"aggregate(sequence(1, length(word)), {start}, (c, k) -> coalesce(get({step}, 0), c))"
+    return lattice.withColumn("cuts", F.expr(f"if(once.late, {slow}, once.cuts)"))
+
+
+def viterbi(lattice: DataFrame, scores: Column, unknown: float = -1e4) -> DataFrame:
+    """Unigram: lattice with cuts of the best path, as in ``merged``. Ties go to the edge that begins first."""
+    n = F.length("word")
+    of = lambda what: F.expr(f"transform(packed, x -> {what.format(x='x')})")
+    lattice = lattice.select("*", F.arrays_zip(of(TURN).alias("turn"), of(START).alias("s"), of(LENGTH).alias("l")).alias("edges"))
     state = F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("back"))
     start = F.array_append(F.array_repeat(F.struct(F.lit(float("-inf")).alias("best"), F.lit(0).alias("back")), n), state)
     # place p (1 to n + 1) is kept at p - 2, place 1 last
     start = F.concat(F.slice(start, 1, n), F.array(state))
-    by_end = F.sort_array(F.transform("edges", lambda x: F.struct(x["e"].alias("e"), x["s"].alias("s"), F.coalesce(x["score"], F.lit(unknown)).alias("w"))))
+    by_end = F.sort_array(F.transform("edges", lambda x: F.struct((x["s"] + x["l"]).alias("e"), x["s"].alias("s"), F.coalesce(F.get(scores, x["turn"].cast("int") - 1), F.lit(unknown)).alias("w"))))
     slot = lambda p: F.when(p == 1, n).otherwise(p - 2)
 
     def relax(best: Column, x: Column) -> Column:
@@ -122,23 +122,26 @@ def viterbi(lattice: DataFrame, unknown: float = -1e4) -> DataFrame:
     path = F.aggregate(F.sequence(F.lit(1), n), F.array(n + 1), lambda p, _: F.when(F.element_at(p, -1) == 1, p).otherwise(
         F.array_append(p, F.get(best, slot(F.element_at(p, -1)))["back"])))
     lattice = lattice.withColumn("path", path)
-    return lattice.withColumn("ends", F.transform(F.sequence(F.lit(1), n), lambda s: F.when(
-        F.array_contains("path", s), F.array_min(F.filter("path", lambda e: e > s))).otherwise(F.lit(0))))
+    return lattice.withColumn("cuts", F.array_join(F.transform(F.sequence(F.lit(1), n + 1), lambda s: F.when(F.array_contains("path", s), "1").otherwise("0")), "").cast("binary"))
 
 
-def encoded_words(words: DataFrame, path: str, unigram: bool = False, table: list | None = None, byte_id: int | None = None) -> DataFrame:
-    """words: distinct rows of word and others. These and ids array<int>."""
+def encoded_words(words: DataFrame, path: str, unigram: bool = False, table: list | None = None, byte_id: int | None = None, n_parts: int | None = None) -> DataFrame:
+    """words: distinct rows of word. (word, ids array<int>)."""
     rows, first, _ = pieces(path) if table is None else (table, byte_id, None)
     ranked = sorted(rows, key=lambda r: (-r[2], r[1]))
-    lattice = edges(words, ranked, max(len(p) for p, _, _ in rows))
-    lattice = (viterbi if unigram else merged)(lattice)
-    taken = F.sort_array(F.transform(F.filter("edges", lambda x: F.get("ends", x["s"] - 1) == x["e"]), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
-    lattice = lattice.withColumn("taken", taken)
-    hexa = lambda s: F.hex(F.encode(F.substring("word", s, F.lit(1)), "UTF-8"))
-    spelled = lambda s: F.transform(F.sequence(F.lit(0), (F.length(hexa(s)) / 2 - 1).cast("int")), lambda k: F.conv(F.substring(hexa(s), 2 * k + 1, F.lit(2)), 16, 10).cast("int") + first)
-    ids = F.when(F.exists("taken", lambda x: x["id"].isNull()), F.flatten(F.transform("taken", lambda x: F.when(
-        x["id"].isNotNull(), F.array(x["id"])).otherwise(spelled(x["s"]))))).otherwise(F.transform("taken", lambda x: x["id"]))
-    return lattice.select(*words.columns, ids.alias("ids"))
+    ids_of, scores = (F.expr(f"cast(split('{','.join(map(str, x))}', ',') as array<{kind}>)") for x, kind in (([i for _, i, _ in ranked], "int"), ([w for _, _, w in ranked], "double")))
+    named = words.select(F.xxhash64("word").alias("h"), "word")
+    lattice = edges(named.repartition(n_parts, "h") if n_parts else named.repartition("h"), ranked)
+    lattice = viterbi(lattice, scores) if unigram else merged(lattice)
+    # start and turn of the edges taken, in order of start
+    taken = f"sort_array(transform(filter(packed, x -> {over('cuts', 'x', '^10*1$')}), x -> shiftleft(cast({START.format(x='x')} as long), 27) | {TURN.format(x='x')}))"
+    lattice = lattice.select("word", F.expr(taken).alias("taken"))
+    turn = lambda x: x.bitwiseAND((1 << 27) - 1).cast("int")
+    hexa = lambda x: F.hex(F.encode(F.substring("word", F.shiftrightunsigned(x, 27).cast("int"), F.lit(1)), "UTF-8"))
+    spelled = lambda x: F.transform(F.sequence(F.lit(0), (F.length(hexa(x)) / 2 - 1).cast("int")), lambda k: F.conv(F.substring(hexa(x), 2 * k + 1, F.lit(2)), 16, 10).cast("int") + first)
+    ids = F.when(F.exists("taken", lambda x: turn(x) == 0), F.flatten(F.transform("taken", lambda x: F.when(
+        turn(x) > 0, F.array(F.get(ids_of, turn(x) - 1))).otherwise(spelled(x))))).otherwise(F.transform("taken", lambda x: F.get(ids_of, turn(x) - 1)))
+    return lattice.select("word", ids.alias("ids"))
 
 
 def marked(text: str) -> str:
@@ -149,16 +152,20 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     """Per row: id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), n_byte_tokens, round_trip; with ids=True also ids array<int>."""
     path = path or tokenizer_path("piece_bpe_32k.model")
     n = n_chunks or chunks(docs, CHUNK_BYTES)
+    where = scratch(docs.sparkSession)
+    spelled = F.regexp_extract_all(F.concat(F.lit(MARK), F.replace(F.col("text"), F.lit(" "), F.lit(MARK))), F.lit(WORD.pattern), F.lit(0))
+    spelled = F.when(F.col("text") != "", F.array_distinct(spelled))
+    words = staged(docs.select(F.col(text_col).cast("string").alias("text")).select(F.explode(spelled).alias("word")).distinct(), f"{where}/words")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words.count() / PART_WORDS))
+    known = staged(encoded_words(words, path, n_parts=parts), f"{where}/known")
     dealt = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
         F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).alias("chunk"),
     ).repartition(n, "chunk")
-    spelled = F.regexp_extract_all(F.concat(F.lit(MARK), F.replace(F.col("text"), F.lit(" "), F.lit(MARK))), F.lit(WORD.pattern), F.lit(0))
-    spelled = F.when(F.col("text") != "", F.array_distinct(spelled))
-    # explode_outer, as no filter is inferred for it, and some id with each word: so this branch reads the same shuffle as the texts
+    # explode_outer, as no filter is inferred for it, and a flag by the ids: so this branch reads the same shuffle as the texts
     sent = dealt.select(F.col("chunk").alias("part"), "id", F.explode_outer(spelled).alias("word"))
-    sent = sent.where("word is not null").groupBy("part", "word").agg(F.min("id").alias("first"))
-    back = encoded_words(sent, path).groupBy("part")
+    sent = sent.where("word is not null").groupBy("part", "word").agg(F.max(F.col("id").isNull()).alias("nameless"))
+    back = sent.join(known, "word").groupBy("part")
     _, first_byte, raw = pieces(path)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
