@@ -19,7 +19,6 @@ text. Other columns are ignored.
 from __future__ import annotations
 
 import functools
-import math
 import re
 import zlib
 
@@ -28,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, scratch, staged, tokenizer_path
+from .shared import chunks, tokenizer_path
 
 MARK = "▁"
 WORD = re.compile("▁*[^▁\n]+|▁+|\n")
-#: Of stored text in a chunk; distinct words whose edges one task sorts.
-CHUNK_BYTES, PART_WORDS = 8 << 20, 20_000
+#: Of stored text in a chunk, and behind the words of one lattice task.
+CHUNK_BYTES, WORD_BYTES = 8 << 20, 1 << 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -63,31 +62,43 @@ TURN, START, LENGTH, ODD = "shiftrightunsigned({x}, 43)", "cast(shiftrightunsign
 
 
 def edges(words: DataFrame, ranked: list[tuple[str, int, float]]) -> DataFrame:
-    """words: distinct rows of word. These with packed, their edges as sorted longs; h, a hash of the word, leads the keys so that the sort behind the grouping compares longs."""
+    """words: distinct rows of h, word and others. These with packed, their edges as sorted longs; h, a hash of the word, leads the keys so that the sort behind the grouping compares longs."""
     rank = {p: k for k, (p, _, _) in enumerate(ranked)}
     odd, longest = odd_pieces(rank), max(map(len, rank))
-    table = words.sparkSession.createDataFrame([(p, (k + 1 << 43) + (p in odd)) for p, k in rank.items()], "piece string, turn long").coalesce(1)
-    at = words.select("h", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
-    sub = at.select("h", "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s") + 1))).alias("l"))
+    table = words.sparkSession.createDataFrame([(p, (k + 1 << 43) + (p in odd)) for p, k in rank.items()], "known string, turn long").coalesce(1).withColumn("kh", F.xxhash64("known"))
+    own = words.columns
+    at = words.select(*own, F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
+    sub = at.select(*own, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s") + 1))).alias("l"))
     sub = sub.withColumn("piece", F.substring("word", F.col("s"), F.col("l")))
-    found = sub.join(F.broadcast(table), "piece", "left").where("turn is not null or l = 1")
+    # the probe is of longs; equal hashes count only with equal strings
+    found = sub.withColumn("ph", F.xxhash64("piece")).join(F.broadcast(table), F.expr("ph = kh and piece = known"), "left").where("turn is not null or l = 1")
     packed = F.coalesce("turn", F.lit(0).cast("long")).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 13)).bitwiseOR(F.shiftleft(F.col("l").cast("long"), 1))
-    return found.groupBy("h", "word").agg(F.sort_array(F.collect_list(packed)).alias("packed"))
+    return found.groupBy(*own).agg(F.sort_array(F.collect_list(packed)).alias("packed"))
 
 
-def over(cuts: str, x: str, shape: str) -> str:
-    """Whether the cuts that edge x spans, both ends included, have this shape."""
-    return f"cast(substring({cuts}, {START.format(x=x)}, {LENGTH.format(x=x)} + 1) as string) rlike '{shape}'"
+def over(cuts: str, x: str) -> str:
+    """The cuts that edge x spans, both ends included."""
+    return f"substring({cuts}, {START.format(x=x)}, {LENGTH.format(x=x)} + 1)"
 
 
-def merged(lattice: DataFrame) -> DataFrame:
+def shapes(longest: int, inner: int) -> str:
+    """By length, the cuts of an edge with both ends cut and so many cuts inside (0 or 1), as an array<array<binary>>."""
+    def of(n: int) -> list[bytes]:
+        flat = [b"1" + b"0" * (n - 1) + b"1"] if n else []
+        return flat if not inner else [x[:k] + b"1" + x[k + 1 :] for x in flat for k in range(1, n)]
+
+    return "array({})".format(", ".join("cast(array({}) as array<binary>)".format(", ".join(f"X'{x.hex()}'" for x in of(n))) for n in range(longest + 1)))
+
+
+def merged(lattice: DataFrame, longest: int) -> DataFrame:
     """BPE: lattice with cuts, a byte for each place between characters: 1 where a symbol begins or the word ends, else 0.
 
     An edge is due if it has one cut inside. One fold in order of (rank, start) is BPE as long as no edge comes due
     after its turn; the fold looks for that after each merge, and a word where it happens is merged step by step,
     the first edge due each time.
     """
-    due = lambda cuts, x: over(cuts, x, "^10*10*1$")
+    one = shapes(longest, 1)
+    due = lambda cuts, x: f"array_contains(get({one}, {LENGTH.format(x=x)}), {over(cuts, x)})"
     fused = lambda cuts, x: f"overlay({cuts} placing cast(repeat('0', {LENGTH.format(x=x)} - 1) as binary) from {START.format(x=x)} + 1)"
     start = "cast(repeat('1', length(word) + 1) as binary)"
     lattice = lattice.withColumn("pairs", F.expr(f"filter(packed, x -> {LENGTH.format(x='x')} > 1)")).withColumn("odds", F.expr(f"filter(pairs, x -> {ODD.format(x='x')})"))
@@ -125,23 +136,24 @@ def viterbi(lattice: DataFrame, scores: Column, unknown: float = -1e4) -> DataFr
     return lattice.withColumn("cuts", F.array_join(F.transform(F.sequence(F.lit(1), n + 1), lambda s: F.when(F.array_contains("path", s), "1").otherwise("0")), "").cast("binary"))
 
 
-def encoded_words(words: DataFrame, path: str, unigram: bool = False, table: list | None = None, byte_id: int | None = None, n_parts: int | None = None) -> DataFrame:
-    """words: distinct rows of word. (word, ids array<int>)."""
+def encoded_words(words: DataFrame, path: str, unigram: bool = False, table: list | None = None, byte_id: int | None = None) -> DataFrame:
+    """words: distinct rows of h (xxhash64 of word), word and others, in partitions by h. These and ids array<int>."""
     rows, first, _ = pieces(path) if table is None else (table, byte_id, None)
     ranked = sorted(rows, key=lambda r: (-r[2], r[1]))
     ids_of, scores = (F.expr(f"cast(split('{','.join(map(str, x))}', ',') as array<{kind}>)") for x, kind in (([i for _, i, _ in ranked], "int"), ([w for _, _, w in ranked], "double")))
-    named = words.select(F.xxhash64("word").alias("h"), "word")
-    lattice = edges(named.repartition(n_parts, "h") if n_parts else named.repartition("h"), ranked)
-    lattice = viterbi(lattice, scores) if unigram else merged(lattice)
+    lattice = edges(words, ranked)
+    longest = max(len(p) for p, _, _ in rows)
+    lattice = viterbi(lattice, scores) if unigram else merged(lattice, longest)
+    flat = f"transform({shapes(longest, 0)}, x -> coalesce(get(x, 0), X''))"
     # start and turn of the edges taken, in order of start
-    taken = f"sort_array(transform(filter(packed, x -> {over('cuts', 'x', '^10*1$')}), x -> shiftleft(cast({START.format(x='x')} as long), 27) | {TURN.format(x='x')}))"
-    lattice = lattice.select("word", F.expr(taken).alias("taken"))
+    taken = f"sort_array(transform(filter(packed, x -> {over('cuts', 'x')} = get({flat}, {LENGTH.format(x='x')})), x -> shiftleft(cast({START.format(x='x')} as long), 27) | {TURN.format(x='x')}))"
+    lattice = lattice.select(*words.columns, F.expr(taken).alias("taken"))
     turn = lambda x: x.bitwiseAND((1 << 27) - 1).cast("int")
     hexa = lambda x: F.hex(F.encode(F.substring("word", F.shiftrightunsigned(x, 27).cast("int"), F.lit(1)), "UTF-8"))
     spelled = lambda x: F.transform(F.sequence(F.lit(0), (F.length(hexa(x)) / 2 - 1).cast("int")), lambda k: F.conv(F.substring(hexa(x), 2 * k + 1, F.lit(2)), 16, 10).cast("int") + first)
     ids = F.when(F.exists("taken", lambda x: turn(x) == 0), F.flatten(F.transform("taken", lambda x: F.when(
         turn(x) > 0, F.array(F.get(ids_of, turn(x) - 1))).otherwise(spelled(x))))).otherwise(F.transform("taken", lambda x: F.get(ids_of, turn(x) - 1)))
-    return lattice.select("word", ids.alias("ids"))
+    return lattice.select(*words.columns, ids.alias("ids"))
 
 
 def marked(text: str) -> str:
@@ -152,20 +164,18 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     """Per row: id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), n_byte_tokens, round_trip; with ids=True also ids array<int>."""
     path = path or tokenizer_path("piece_bpe_32k.model")
     n = n_chunks or chunks(docs, CHUNK_BYTES)
-    where = scratch(docs.sparkSession)
     spelled = F.regexp_extract_all(F.concat(F.lit(MARK), F.replace(F.col("text"), F.lit(" "), F.lit(MARK))), F.lit(WORD.pattern), F.lit(0))
     spelled = F.when(F.col("text") != "", F.array_distinct(spelled))
-    words = staged(docs.select(F.col(text_col).cast("string").alias("text")).select(F.explode(spelled).alias("word")).distinct(), f"{where}/words")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words.count() / PART_WORDS))
-    known = staged(encoded_words(words, path, n_parts=parts), f"{where}/known")
     dealt = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
         F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).alias("chunk"),
     ).repartition(n, "chunk")
-    # explode_outer, as no filter is inferred for it, and a flag by the ids: so this branch reads the same shuffle as the texts
+    # The flags by id and part keep these columns: so each shuffle is read by two branches and made once; explode_outer, as no filter is inferred for it
     sent = dealt.select(F.col("chunk").alias("part"), "id", F.explode_outer(spelled).alias("word"))
     sent = sent.where("word is not null").groupBy("part", "word").agg(F.max(F.col("id").isNull()).alias("nameless"))
-    back = sent.join(known, "word").groupBy("part")
+    asked = sent.select("part", F.xxhash64("word").alias("h"), "word", "nameless").repartition(chunks(docs, WORD_BYTES), "h")
+    once = asked.groupBy("h", "word").agg(F.max(F.struct(F.col("part").isNull(), "nameless")).alias("flags"))
+    back = asked.join(encoded_words(once, path), ["h", "word"]).select("part", "word", "ids", "flags", "nameless").groupBy("part")
     _, first_byte, raw = pieces(path)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
@@ -174,14 +184,19 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         flat = replies["ids"].combine_chunks()
         flat = flat if isinstance(flat, pa.ListArray) else flat.chunk(0)
         values, cuts = flat.flatten().to_numpy().astype("<u4"), flat.offsets.to_numpy() - flat.offsets[0].as_py()
-        packed = {w: values[a:b].tobytes() for w, a, b in zip(replies["word"].to_pylist(), cuts, cuts[1:], strict=False)}
+        own = replies["word"].to_pylist()
+        packed = {w: values[a:b].tobytes() for w, a, b in zip(own, cuts, cuts[1:], strict=False)}
+        flat_ids, ends = values.tolist(), cuts.tolist()
+        # words partition the marked text, so it comes back if each word does and no mark was there before
+        lost = {w for w, a, b in zip(own, ends, ends[1:], strict=False) if b"".join([raw_of[i] for i in flat_ids[a:b]]) != w.replace(MARK, " ").encode()}
         cols: dict[str, list] = {k: [] for k in ("n", "crc", "byte", "same", "ids")}
         for t in group["text"].to_pylist():
-            coded = b"".join([packed[w] for w in WORD.findall(marked(t))]) if t else b""
+            said = WORD.findall(marked(t)) if t else []
+            coded = b"".join([packed[w] for w in said])
             a = np.frombuffer(coded, "<u4")
             cols["n"].append(len(a)), cols["crc"].append(zlib.crc32(coded))
             cols["byte"].append(int(((a >= first_byte) & (a < first_byte + 256)).sum()))
-            cols["same"].append(b"".join([raw_of[i] for i in a.tolist()])[1:] == (t or "").encode())
+            cols["same"].append(MARK not in (t or "") and (not lost or lost.isdisjoint(said)))
             if ids:
                 cols["ids"].append(a.astype(np.int32))
         out = {id_col: group["id"], "n_tokens": pa.array(cols["n"], pa.int64()), "ids_crc32": pa.array(cols["crc"], pa.int64()),
@@ -201,4 +216,4 @@ def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -> Da
 
 
 def spark_words(spark: SparkSession, words: list[str]) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in words], "word string")
+    return spark.createDataFrame([(w,) for w in words], "word string").select(F.xxhash64("word").alias("h"), "word").repartition("h")
