@@ -71,7 +71,7 @@ def edges(words: DataFrame, ranked: list[tuple[str, int, float]]) -> DataFrame:
     sub = at.select(*own, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s") + 1))).alias("l"))
     sub = sub.withColumn("piece", F.substring("word", F.col("s"), F.col("l")))
     # the probe is of longs; equal hashes count only with equal strings
-    found = sub.withColumn("ph", F.xxhash64("piece")).join(F.broadcast(table), F.expr("ph = kh and piece = known"), "left").where("turn is not null or l = 1")
+    found = sub.withColumn("ph", F.xxhash64("piece")).join(F.broadcast(table), F.expr("ph = kh and startswith(known, piece) and startswith(piece, known)"), "left").where("turn is not null or l = 1")
     packed = F.coalesce("turn", F.lit(0).cast("long")).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 13)).bitwiseOR(F.shiftleft(F.col("l").cast("long"), 1))
     return found.groupBy(*own).agg(F.sort_array(F.collect_list(packed)).alias("packed"))
 
@@ -171,11 +171,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).alias("chunk"),
     ).repartition(n, "chunk")
     # The flags by id and part keep these columns: so each shuffle is read by two branches and made once; explode_outer, as no filter is inferred for it
-    sent = dealt.select(F.col("chunk").alias("part"), "id", F.explode_outer(spelled).alias("word"))
-    sent = sent.where("word is not null").groupBy("part", "word").agg(F.max(F.col("id").isNull()).alias("nameless"))
-    asked = sent.select("part", F.xxhash64("word").alias("h"), "word", "nameless").repartition(chunks(docs, WORD_BYTES), "h")
-    once = asked.groupBy("h", "word").agg(F.max(F.struct(F.col("part").isNull(), "nameless")).alias("flags"))
-    back = asked.join(encoded_words(once, path), ["h", "word"]).select("part", "word", "ids", "flags", "nameless").groupBy("part")
+    sent = dealt.select(F.col("chunk").alias("part"), F.col("id").isNull().alias("nameless"), F.explode_outer(spelled).alias("word"))
+    sent = sent.where("word is not null").distinct()
+    asked = sent.select("part", F.xxhash64("word").alias("h"), "word", "nameless").repartition(chunks(docs, WORD_BYTES), "h", "word")
+    once = asked.groupBy("h", "word").agg((F.max("part") < 0).alias("flag"), F.max("nameless").alias("unnamed"))
+    back = asked.join(encoded_words(once, path), ["h", "word"]).select("part", "word", "ids", (F.col("flag") | F.col("unnamed") | F.col("nameless")).alias("flag")).groupBy("part")
     _, first_byte, raw = pieces(path)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
