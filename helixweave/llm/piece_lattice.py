@@ -137,7 +137,7 @@ def viterbi(lattice: DataFrame, scores: Column, unknown: float = -1e4) -> DataFr
 
 
 def encoded_words(words: DataFrame, path: str, unigram: bool = False, table: list | None = None, byte_id: int | None = None) -> DataFrame:
-    """words: distinct rows of h (xxhash64 of word), word and others, in partitions by h. These and ids array<int>."""
+    """words: distinct rows of h (xxhash64 of word), word and others, in partitions by word. These and ids array<int>."""
     rows, first, _ = pieces(path) if table is None else (table, byte_id, None)
     ranked = sorted(rows, key=lambda r: (-r[2], r[1]))
     ids_of, scores = (F.expr(f"cast(split('{','.join(map(str, x))}', ',') as array<{kind}>)") for x, kind in (([i for _, i, _ in ranked], "int"), ([w for _, _, w in ranked], "double")))
@@ -173,9 +173,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     # The flags by id and part keep these columns: so each shuffle is read by two branches and made once; explode_outer, as no filter is inferred for it
     sent = dealt.select(F.col("chunk").alias("part"), F.col("id").isNull().alias("nameless"), F.explode_outer(spelled).alias("word"))
     sent = sent.where("word is not null").distinct()
-    asked = sent.select("part", F.xxhash64("word").alias("h"), "word", "nameless").repartition(chunks(docs, WORD_BYTES), "h", "word")
-    once = asked.groupBy("h", "word").agg((F.max("part") < 0).alias("flag"), F.max("nameless").alias("unnamed"))
-    back = asked.join(encoded_words(once, path), ["h", "word"]).select("part", "word", "ids", (F.col("flag") | F.col("unnamed") | F.col("nameless")).alias("flag")).groupBy("part")
+    asked = sent.repartition(chunks(docs, WORD_BYTES), "word")
+    once = asked.groupBy("word").agg((F.max("part") < 0).alias("flag"), F.max("nameless").alias("unnamed")).select(F.xxhash64("word").alias("h"), "*")
+    back = asked.join(encoded_words(once, path), "word").select("part", "word", "ids", (F.col("flag") | F.col("unnamed") | F.col("nameless")).alias("flag")).groupBy("part")
     _, first_byte, raw = pieces(path)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
@@ -216,4 +216,4 @@ def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -> Da
 
 
 def spark_words(spark: SparkSession, words: list[str]) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in words], "word string").select(F.xxhash64("word").alias("h"), "word").repartition("h")
+    return spark.createDataFrame([(w,) for w in words], "word string").repartition("word").select(F.xxhash64("word").alias("h"), "word")
