@@ -1,4 +1,4 @@
-"""Connected components of a table of links: smallest label of the neighbours, then of the label itself, until nothing changes."""
+"""Connected components of a table of links: roots hook to their smallest neighbour, chains of roots are cut short, links move to the roots, until none is left."""
 
 from __future__ import annotations
 
@@ -7,24 +7,38 @@ from pyspark.sql import functions as F
 
 from .shared import scratch, staged
 
+#: Rounds halve the roots at least every second time, so 2 * 63 are never reached by distinct longs.
+ROUNDS, JUMPS = 126, 64
+
 
 def components(links: DataFrame, where: str | None = None) -> DataFrame:
     """links: a, b (long). Result: node, label (the smallest node of its component), for every node of a link.
 
-    Each round is a written table in the shared folder. A hub's links meet in partial minima or in joins that
-    the planner may split; rounds follow the logarithm of the longest chain.
+    Each round is a written table in the shared folder. A round links every root to its smallest neighbour, follows
+    these to their ends by doubling, and keeps only links between different roots: what is left shrinks by a factor
+    whatever the length of chains. A hub's links meet in partial minima or in joins that the planner may split.
     """
     where = where or f"{scratch(links.sparkSession)}/components"
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = staged(both.where("a <> b").distinct(), f"{where}/links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), f"{where}/0")
-    for k in range(1, 64):
-        seen = (both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
-                .agg(F.min("label").alias("seen")))
-        low = labels.join(seen, "node", "left").select("node", "label", F.least("label", "seen").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("beyond"))
-        new = staged(low.join(jump, "low", "left").select("node", F.least("low", "beyond").alias("label"), (F.least("low", "beyond") < F.col("label")).alias("moved")), f"{where}/{k}")
-        labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
-            break
-    return labels
+    labels = None
+    for k in range(ROUNDS):
+        roots = staged(both.groupBy(F.col("a").alias("root")).agg(F.least("root", F.min("b")).alias("to")), f"{where}/{k}-0")
+        for j in range(1, JUMPS):
+            beyond = roots.select(F.col("root").alias("to"), F.col("to").alias("beyond"))
+            new = staged(roots.join(beyond, "to").select("root", F.col("beyond").alias("to"), (F.col("beyond") < F.col("to")).alias("moved")), f"{where}/{k}-{j}")
+            roots = new.select("root", "to")
+            if new.where("moved").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"components: chains of roots didn't end after {JUMPS} doublings")
+        if labels is None:
+            labels = roots.select(F.col("root").alias("node"), F.col("to").alias("label"))
+        else:
+            moved = roots.select(F.col("root").alias("label"), "to")
+            labels = staged(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{where}/labels{k}")
+        left = both.join(roots.select(F.col("root").alias("a"), F.col("to").alias("x")), "a").join(roots.select(F.col("root").alias("b"), F.col("to").alias("y")), "b")
+        both = staged(left.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"{where}/links{k}")
+        if both.isEmpty():
+            return labels
+    raise RuntimeError(f"components: links were left after {ROUNDS} rounds")
