@@ -1,6 +1,9 @@
 """Op 3, secret scans: candidates, then a random forest that removes false positives. DataFrame functions only.
 
-Candidates are words of 12 or more key letters with a digit, bare or after "name=" or "name:", in quotes or not.
+Candidates are searched inside words, between any delimiters, as many as a word has: runs of 12 or more key letters
+with a digit, also with dots inside; values of "name=" or "name:" (in quotes or not, any symbols inside) of 12 or more
+with a digit, and of any length and letters after a secret's name, also with spaces around the sign (a value ends at
+the next space; what follows unquoted as punctuation isn't of it); bodies of private key blocks, without spaces.
 The forest (trained in the JVM on labelled findings, 40 trees) looks at the candidate's length, its transitions
 between lower case, upper case and digits, how much of it common letter groups of words cover, the text's path
 (its source: tests and examples) and the two words before and the one after. Labelled findings are a table
@@ -20,7 +23,12 @@ NAMES = "passw(or)?d|passwd|pwd|secret|token|api_?key|apikey|access_?key|auth|cr
 HASHES = "sha1|sha256|md5|commit|revision|checksum|digest|uuid|etag|build|isbn|phone|order|invoice"
 TESTS = "test|example|sample|fixture|mock|docs?/"
 GROUPS = "the|ing|ion|and|ent|tion|for|her|ter|hat|ere|ate|his|con|res|ver|all|ons|nce|men|ith|ted|ers|pro|are|ess|not|ive|was|ect|rea|com|eve|per|int|est|sta|cti|ica|ist|ear|ain|one|our|iti|rat"
-SPACE, CORE = "[\\x20\\x09-\\x0D]+", "^[\"'(\\[{<]*(?:([A-Za-z_][A-Za-z_.]*)[\"']?[=:][\"']?)?([A-Za-z0-9+/_=-]{12,})[\"')\\]}>.,;:!?]*$"
+SPACE = "[\\x20\\x09-\\x0D]+"
+#: A name, its sign and its value up to a delimiter and the quote after it; a bare run; a value whose name is in the words before.
+ASSIGNED = "([A-Za-z_][A-Za-z0-9_.-]*)[\"'`]?\\]?(?::=|=>|==|=|:)(?!//)[\"'`]?([^\\s\"'`&,;()\\[\\]{}<>]+)([\"'`]?)"
+BARE = "[A-Za-z0-9+/_=-]+(?:\\.[A-Za-z0-9+/_=-]+)*"
+SPACED, QUOTED, PLAIN = f"(?i)({NAMES})[^\\s=:]*[\"'`]? ?(:=|=>|==|=|:)$", "^[(\\[{<]*([\"'`])(.+?)(?:\\1|$)", "^[(\\[{<]*([^\\s\"'`,;()\\[\\]{}<>]+)"
+ENDING = "[.,:;!?#*%$&]+$"
 FEATURES = ("n", "digits", "uppers", "transitions", "covered", "path_test", "named", "hashed", "prefix", "only_digits", "dashes")
 
 
@@ -29,15 +37,44 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     words = docs.select(F.col(id_col), path.alias("path"), F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE).alias("words"))
     at = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    # what may hold a candidate: a key's length and digit, a sign inside, or a sign or a key's mark before
     found = F.filter(F.transform("words", lambda w, i: F.when(
-        (F.length(w) >= 12) & w.rlike("[0-9]") & w.rlike(CORE),
-        F.struct(i.cast("long").alias("pos"), w.alias("word"), F.concat_ws(" ", at(i - 2), at(i - 1)).alias("before"), at(i + 1).alias("after")))),
+        ((F.length(w) >= 12) & w.rlike("[0-9]")) | w.rlike("[=:].") | at(i - 1).rlike("[=:>]$") | w.startswith("KEY-----"),
+        F.struct(i.cast("long").alias("pos"), w.alias("word"), F.concat_ws(" ", at(i - 2), at(i - 1)).alias("before"), at(i + 1).alias("after"),
+                 F.when(w.startswith("KEY-----") & (at(i - 1) == "PRIVATE"), body(F.slice("words", i + 2, F.size("words")))).alias("body")))),
         lambda x: x.isNotNull())
-    return words.select(id_col, "path", F.inline(found)).select(
-        id_col, "pos", F.regexp_extract("word", CORE, 2).alias("candidate"), F.regexp_extract("word", CORE, 1).alias("name"), "before", "after", "path",
+    rows = words.select(id_col, "path", F.inline(found))
+    return rows.select(id_col, "pos", "before", "after", "path", F.inline(inside(F.col("word"), F.col("before"), F.col("body")))).select(
+        id_col, "pos", "candidate", "name", "before", "after", "path",
     )
 
 
+def body(rest):
+    """Words up to the end mark of a key block, joined."""
+    return F.regexp_extract(F.array_join(rest, ""), "^([^-]+)", 1)
+
+
+def inside(word, before, block):
+    """Structs (candidate, name) of a word, each once."""
+    def one(candidate, name):
+        return F.struct(candidate.alias("candidate"), name.alias("name"))
+
+    def bare(value, closed):
+        return F.when(closed != "", value).otherwise(F.regexp_replace(value, ENDING, ""))
+
+    all_of = lambda k: F.regexp_extract_all(word, F.lit(ASSIGNED), F.lit(k))
+    said = F.zip_with(F.zip_with(all_of(1), all_of(2), lambda n, v: F.struct(n.alias("n"), v.alias("v"))), all_of(3), lambda x, q: one(bare(x["v"], q), x["n"]))
+    long = lambda c: (F.length(c) >= 12) & c.rlike("[0-9]")
+    said = F.filter(said, lambda x: (x["candidate"] != "") & (long(x["candidate"]) | F.lower(x["name"]).rlike(NAMES)))
+    spaced = before.rlike(SPACED)
+    value = F.when(word.rlike(QUOTED), F.regexp_extract(word, QUOTED, 2)).otherwise(F.regexp_replace(F.regexp_extract(word, PLAIN, 1), ENDING, ""))
+    rest = F.regexp_extract_all(F.regexp_replace(word, ASSIGNED, " "), F.lit(BARE), F.lit(0))
+    runs = F.transform(F.filter(rest, long), lambda c: one(c, F.lit("")))
+    none = F.array().cast("array<struct<candidate:string,name:string>>")
+    blocks = F.when(F.coalesce(block, F.lit("")) != "", F.array(one(block, F.lit("private_key")))).otherwise(none)
+    return F.array_distinct(F.concat(blocks, F.when(spaced & (value != ""), F.array(one(value, F.lit("")))).otherwise(F.concat(said, runs))))
+
+
 def featured(found: DataFrame) -> DataFrame:
     c = F.col("candidate")
     near = F.lower(F.concat_ws(" ", "name", "before"))
