@@ -5,12 +5,15 @@ Karp-Rabin hashes; runs of seeds on one diagonal make matches. The longest match
 overlaps it is cut back, and so on, until no unmarked match of seed terms is left. An item's coverage is the
 share of its terms that tiles cover, in any order; a document at or above the threshold is contaminated.
 
-The benchmark is broadcast in slices of at most slice_bytes, one pass over the documents each: a larger
-benchmark makes more passes, never a larger broadcast. Documents are not shuffled.
+The benchmark is dealt by a hash of its ids into slices of about slice_bytes of text (an item stays whole, so a slice
+holds at least one). Only one slice is broadcast and indexed at a time: where there are several, each one's pass over the
+documents writes what it finds before the next begins, and the finds are joined to the documents by id and text.
+With one slice documents are not shuffled.
 
 Items shorter than seed must match whole. Items without terms match nothing; null and empty documents match
-nothing. Repeated item ids count together (the best coverage), as do repeated rows of a document in no other
-way than by having equal results. Other columns are ignored.
+nothing. An item of one term marks every document with that term. Repeated item ids count together (the best coverage);
+repeated rows of a document have equal results. An empty benchmark matches nothing. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored_bytes
+from .shared import Staging
 from .terms import Hashes, hashed, terms, windows
 
 SEED, THRESHOLD = 5, 0.6
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
 
 
 class Seeds:
@@ -98,48 +101,67 @@ def tiled(item: list[bytes], words: list[bytes], length: int, p: np.ndarray, q:
     return sum(mine), tiles
 
 
-def coverages(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, text_col: str = "text", item_col: str = "item_id",
-              item_text: str = "text", slice_bytes: int = SLICE_BYTES, found_col: str = "_items") -> DataFrame:
-    """docs with found_col array<struct<item, coverage, tiles>>: all items that share a seed with the text, in order of item."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null")
-    n = max(1, math.ceil(stored_bytes(benchmark) / slice_bytes))
+MATCHES = "array<struct<item: bigint, coverage: double, tiles: bigint>>"
+
+
+def matched(texts: DataFrame, items: DataFrame, seed: int) -> DataFrame:
+    """texts (its last column a text) with matches in that column's place. items: one slice, which is broadcast."""
+    index = texts.sparkSession.sparkContext.broadcast(Seeds([(r.item, r.text) for r in items.orderBy("item", "text").collect()], seed))
     kind = pa.list_(pa.struct([("item", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int64())]))
-    out = docs.withColumn(found_col, F.expr("cast(array() as array<struct<item: bigint, coverage: double, tiles: bigint>>)"))
-    at = docs.columns.index(text_col)
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).orderBy("item", "text").collect()
-        index = spark.sparkContext.broadcast(Seeds([(r.item, r.text) for r in part], seed))
-
-        def match(batches, index=index):
-            seeds, memo = index.value, Hashes()
-            for batch in batches:
-                found = []
-                for text, old in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                    best = {m["item"]: m for m in old}
-                    words = terms(text)
-                    for i, length, p, q in seeds.matches(words, memo):
-                        covered, tiles = tiled(seeds.terms[i], words, length, p, q)
-                        share, name = covered / len(seeds.terms[i]), seeds.ids[i]
-                        if name not in best or share > best[name]["coverage"]:
-                            best[name] = {"item": name, "coverage": share, "tiles": tiles}
-                    found.append(sorted(best.values(), key=lambda m: m["item"]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=batch.schema.names)
-
-        out = out.mapInArrow(match, out.schema)
-    return out
+
+    def match(batches):
+        seeds, memo = index.value, Hashes()
+        for batch in batches:
+            found = []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                best: dict[int, dict] = {}
+                words = terms(text)
+                for i, length, p, q in seeds.matches(words, memo):
+                    covered, tiles = tiled(seeds.terms[i], words, length, p, q)
+                    share, name = covered / len(seeds.terms[i]), seeds.ids[i]
+                    if name not in best or share > best[name]["coverage"]:
+                        best[name] = {"item": name, "coverage": share, "tiles": tiles}
+                found.append(sorted(best.values(), key=lambda m: m["item"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*batch.schema.names[:-1], "matches"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+    return texts.mapInArrow(match, f"{shape}, matches {MATCHES}")
+
+
+def coverages(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, text_col: str = "text", item_col: str = "item_id",
+              item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """row (struct of docs' columns) and matches array<struct<item, coverage, tiles>>: all items that share a seed with the text, in order of item."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
+    n = max(1, math.ceil((items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) / slice_bytes))
+    slices = [r[0] for r in items.select(F.pmod(F.xxhash64("item"), F.lit(n)).alias("s")).distinct().orderBy("s").collect()]
+    part = lambda s: items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == s)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = F.col(text_col).cast("string").alias("text")
+    if len(slices) <= 1:
+        return matched(docs.select(row, text), part(slices[0]) if slices else items.limit(0), seed)
+    stage = Staging(docs.sparkSession)
+    # a text is named by two hashes
+    name = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")]
+    found = None
+    for s in slices:
+        new = stage.put(matched(docs.select(*name, text), part(s), seed).where(F.size("matches") > 0).dropDuplicates(["h1", "h2"]), f"slice{s}", free=False)
+        found = new if found is None else found.unionByName(new)
+    # an item is in one slice only, so the slices' finds are put together as they are
+    found = found.groupBy("h1", "h2").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    return docs.select(row, *name).join(found, ["h1", "h2"], "left").select("row", F.coalesce("matches", F.expr(f"cast(array() as {MATCHES})")).alias("matches"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", **how) -> DataFrame:
     """Per document row: id, contaminated, items (ids of the items it covers), n_items, max_coverage (0 without a match)."""
     text_col = how.get("text_col", "text")
-    covered = F.transform(F.filter("_items", lambda m: m["coverage"] >= threshold), lambda m: m["item"])
+    covered = F.transform(F.filter("matches", lambda m: m["coverage"] >= threshold), lambda m: m["item"])
     return coverages(docs.select(id_col, text_col), benchmark, **how).select(
-        id_col, (F.size(covered) > 0).alias("contaminated"), covered.alias("items"), F.size(covered).cast("long").alias("n_items"),
-        F.coalesce(F.array_max(F.transform("_items", lambda m: m["coverage"])), F.lit(0.0)).alias("max_coverage"),
+        F.col("row").getField(id_col).alias(id_col), (F.size(covered) > 0).alias("contaminated"), covered.alias("items"), F.size(covered).cast("long").alias("n_items"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0)).alias("max_coverage"),
     )
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
     """The rows of docs that cover no item; all their columns."""
-    return coverages(docs, benchmark, **how).where(~F.exists("_items", lambda m: m["coverage"] >= threshold)).drop("_items")
+    clean = coverages(docs, benchmark, **how).where(~F.exists("matches", lambda m: m["coverage"] >= threshold))
+    return clean.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

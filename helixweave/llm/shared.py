@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import math
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,17 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 4 << 20
 
 
+@functools.lru_cache(maxsize=4)
+def _own_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="helixweave-")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a temporary folder takes its place.
+    Only a single local process, as in tests, may leave that unset: a temporary folder takes its place. On a cluster
+    it would be another folder on each machine, so there an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="helixweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _own_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/helixweave-{uuid.uuid4().hex}"
 
 
@@ -33,6 +41,29 @@ def staged(df: DataFrame, where: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+class Staging:
+    """Written tables of one run. Each goes as soon as the run has no more use for it, and so do the shuffle files behind it."""
+
+    def __init__(self, spark: SparkSession, where: str | None = None):
+        self.spark, self.where = spark, where or scratch(spark)
+        self.held: dict[int, tuple[DataFrame, str]] = {}
+
+    def put(self, df: DataFrame, name: str, free: bool = True) -> DataFrame:
+        """free: let Spark's cleaner take the shuffle files that the write has left; they'd stay until the driver next collects its garbage."""
+        out = staged(df, f"{self.where}/{name}")
+        self.held[id(out)] = out, f"{self.where}/{name}"
+        if free:
+            gc.collect()
+            self.spark._jvm.System.gc()
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of put(); nothing that is computed later may read them."""
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.held.pop(id(t))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of df by the planner's statistics (file sizes); measured where the planner doesn't know."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
