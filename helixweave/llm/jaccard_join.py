@@ -1,20 +1,21 @@
 """Op 9, n-gram Jaccard join: chosen paths.
 
 Each text is the set of its runs of span terms (all its terms, if there are fewer). Texts of equal sets are one
-representative (the smallest id), so exact copies cost one group-by. Representatives then go down random trees:
-a node picks, by a hash of its path, each of the set's 128 min-wise tokens (a shared random sample of its tokens)
-with chance branch / 128; a child is a path with that token. Two sets of Jaccard J meet in a given child with
-chance J. Buckets of at most leaf sets stop; larger ones split on, to depth levels; what is still large then is
-compared in pairs of blocks, so no bucket is capped. Trees are repeated until a pair at the threshold meets with
-the target recall, by the survival of the branching process.
+representative, so copies cost one group-by. Representatives then go down random trees: a node picks, by a hash of its
+path, each of the set's 128 min-wise tokens (a shared random sample of its tokens) with chance branch / 128; a child is a
+path with that token. Two sets of Jaccard J meet in a given child with chance J. Buckets of at most leaf sets stop;
+larger ones split on, to depth levels; what is still large then is compared as it is, so no bucket is capped. Trees are
+repeated until a pair at the threshold meets with the target recall, by the survival of the branching process.
 
 Sets that meet and whose 8-bit sketches agree in 66 % or more (0.8 less four standard deviations) join a candidate
-group. Within each group all pairs are verified exactly, again by pairs of blocks. What leaves a task is, per
-representative, its number of links and one edge to its group's root: no pair rows.
-
-Result: one row per input row: id, class_id (smallest id that links reach), n_links (other texts, as distinct sets,
-at the threshold or above). Null and empty texts have no set: a class each, no link. Rows of equal id have the same
-class as their texts say; null ids give a null class. Other columns are ignored.
+group. Within each group all pairs are verified exactly. Buckets and groups of more than a block are dealt into blocks, and
+each block is packed into one row: what is sent again for each pair of blocks are these rows, not the documents. What
+leaves a task is, per representative, its number of links and one edge to its group's root: no pair rows.
+
+Result: one row per input row: id, class_id (smallest id that links reach), n_links (other texts at the threshold or
+above; texts are told apart by a 64-bit hash, so copies count once and texts of equal sets, such as other case, count
+each). Null and empty texts have no set: a class each, no link. Rows of equal id each go by their text: their class is that
+text's. Null ids give a null class and found no class. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import scratch, staged
+from .shared import Staging
 from .terms import Hashes, hashed, runs, terms, windows
 
 SPAN, THRESHOLD = 5, 0.8
-T, BRANCH, DEPTH, LEAF, BLOCK = 128, 2.0, 4, 64, 500
+T, BRANCH, DEPTH, LEAF = 128, 2.0, 4, 64
+#: Rows, and bytes of tokens, that a block holds on average.
+BLOCK, BLOCK_BYTES = 4096, 8 << 20
 LOOSE = 0.66
 
 _rng = np.random.default_rng(20_250_101)
@@ -97,75 +100,97 @@ def local_roots(n: int, alike) -> np.ndarray:
     return root
 
 
-def in_blocks(rows: DataFrame, key: str, n: str, most: int) -> DataFrame:
-    """rows with i, j: each row goes to every pair of blocks of its group that holds its own block; one pair, if the group has at most `most` rows.
+def packed(rows: DataFrame, key: str, n_blocks: str, names: list[str]) -> DataFrame:
+    """rows of groups dealt into n_blocks blocks: (key, i, j, part, and each of names packed) for each pair of blocks i <= j.
 
-    Two rows of a group meet in the pair of their blocks (i < j), or in (i, i) if they share one.
+    part is the block's own number; names are longs, or binaries whose lengths the reader knows.
     """
-    blocks = F.ceil(F.col(n) / most).cast("int")
-    own = F.pmod(F.xxhash64(F.col("doc"), F.lit(1)), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    return (rows.withColumn("own", own).withColumn("other", other)
-            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", n))
+    own = rows.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col(n_blocks)).cast("int"))
+
+    def pack(batches):
+        for group in runs(batches, [key, "part"]):
+            cols = [group.column(0)[:1], group.column(1)[:1], group.column(2)[:1]]
+            cols += [pa.array([c.to_numpy().tobytes() if pa.types.is_int64(c.type) else b"".join(c.to_pylist())], pa.binary()) for c in group.columns[3:]]
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[key, "part", "n", *names])
+
+    shape = f"{key} long, part int, n int, " + ", ".join(f"{x} binary" for x in names)
+    blocks = own.select(key, "part", F.col(n_blocks).cast("int").alias("n"), *names).repartition(key, "part").sortWithinPartitions(key, "part", "rep").mapInArrow(pack, shape)
+    pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return pairs.select(key, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *names).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "part")
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
-    """doc, digest of its set, signature; digest is null where there are no terms."""
+    """doc, th (hash of the text), digest of its set, its size, signature; the last three are null where there are no terms."""
 
     def sign(batches):
         memo = Hashes()
         for batch in batches:
-            digests, sigs = [], []
-            for t in batch.column(1).to_pylist():
+            digests, sizes, sigs = [], [], []
+            for t in batch.column(2).to_pylist():
                 s = shingles(t, memo, span)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sizes.append(len(s) or None)
                 sigs.append(minwise(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())],
+                                             names=["doc", "th", "digest", "size", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        sign, "doc long, digest binary, sig binary"
-    )
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(
+        sign, "doc long, th long, digest binary, size long, sig binary")
 
 
-def candidates(reps: DataFrame, where: str, recall: float, threshold: float) -> DataFrame:
-    """Links (a, b) that make the candidate groups of reps (doc, sig)."""
+def candidates(reps: DataFrame, stage: Staging, recall: float, threshold: float) -> DataFrame:
+    """Links (a, b) that make the candidate groups of reps (rep, sig)."""
     n_runs = runs_for(recall, threshold)
+    shape = "bucket long, rep long"
 
     def planted(batches):
         seeds = mixed(np.arange(1, n_runs + 1, dtype=np.uint64), np.full(n_runs, 77, np.uint64))
         for batch in batches:
             sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, T)
-            docs = batch.column(0).to_numpy()
-            row, path = children(np.tile(seeds, len(docs)), np.repeat(sigs, n_runs, 0), BRANCH)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(docs[row // n_runs])], names=["bucket", "doc"])
+            reps = batch.column(0).to_numpy()
+            row, path = children(np.tile(seeds, len(reps)), np.repeat(sigs, n_runs, 0), BRANCH)
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(reps[row // n_runs])], names=["bucket", "rep"])
 
     def split(batches):
         for batch in batches:
             sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, T)
             row, path = children(batch.column(0).to_numpy().view(np.uint64), sigs, BRANCH)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(batch.column(1).to_numpy()[row])], names=["bucket", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(batch.column(1).to_numpy()[row])], names=["bucket", "rep"])
+
+    def alike(sketch: np.ndarray):
+        return lambda k, rows: (sketch[rows] == sketch[k]).mean(1) >= LOOSE
+
+    def edges(reps: np.ndarray, root: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(reps[far]), pa.array(reps[root][far])], names=["a", "b"])
 
     def linked(batches):
+        for group in runs(batches, ["bucket"]):
+            reps = group["rep"].to_numpy()
+            root = local_roots(len(reps), alike(np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, T)))
+            yield edges(reps, root, root != np.arange(len(reps)))
+
+    def linked_blocks(batches):
         for group in runs(batches, ["bucket", "i", "j"]):
-            docs = group["doc"].to_numpy()
-            sketch = (np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(-1, T) & np.uint32(255)).astype(np.uint8)
-            alike = lambda k, rows, s=sketch: (s[rows] == s[k]).mean(1) >= LOOSE
-            root, own = local_roots(len(docs), alike), group["own"].to_numpy()
-            far = docs[root] != docs
-            if group["i"][0] != group["j"][0]:  # what hangs together within a block is linked in its own pair: one edge for each such part
-                for side in (group["i"][0].as_py(), group["j"][0].as_py()):
+            parts = [np.frombuffer(b, np.int64) for b in group["rep"].to_pylist()]
+            reps, own = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, T)
+            root = local_roots(len(reps), alike(sketch))
+            far = root != np.arange(len(reps))
+            if len(parts) > 1:  # what hangs together within a block is linked in the block's own pair: one edge for each such part
+                for side in (0, 1):
                     at = np.flatnonzero(own == side)
-                    part = local_roots(len(at), lambda k, rows, at=at, s=sketch: (s[at[rows]] == s[at[k]]).mean(1) >= LOOSE)
-                    far[at[part != np.arange(len(at))]] = False
-            yield pa.RecordBatch.from_arrays([pa.array(docs[far]), pa.array(docs[root][far])], names=["a", "b"])
+                    far[at[local_roots(len(at), alike(sketch[at])) != np.arange(len(at))]] = False
+            yield edges(reps, root, far)
 
-    shape = "bucket long, doc long"
-    nodes = reps.select("doc", "sig").mapInArrow(planted, shape)
-    leaves = None
+    nodes = reps.select("rep", "sig").mapInArrow(planted, shape)
+    leaves, held = None, []
     for level in range(1, DEPTH + 1):
-        nodes = staged(nodes, f"{where}/nodes{level}")
+        nodes = stage.put(nodes, f"nodes{level}", free=False)
         sizes = nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        live = staged(nodes.join(sizes, "bucket"), f"{where}/live{level}")
+        live = stage.put(nodes.join(sizes, "bucket"), f"live{level}")
+        stage.drop(nodes)
+        held.append(live)
         done = live if level == DEPTH else live.where(F.col("n") <= LEAF)
         leaves = done if leaves is None else leaves.unionByName(done)
         if level == DEPTH:
@@ -173,65 +198,111 @@ def candidates(reps: DataFrame, where: str, recall: float, threshold: float) ->
         large = live.where(F.col("n") > LEAF)
         if large.isEmpty():
             break
-        nodes = large.select("bucket", "doc").join(reps.select("doc", "sig"), "doc").select("bucket", "doc", "sig").mapInArrow(split, shape)
-    dealt = in_blocks(leaves, "bucket", "n", BLOCK).join(reps.select("doc", "sig"), "doc").select("bucket", "i", "j", "own", "doc", "sig")
-    # in order of doc, each part's root is its smallest doc, so many trees give the same link and distinct() keeps it once
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc").mapInArrow(linked, "a long, b long").distinct()
+        nodes = large.select("bucket", "rep").join(reps.select("rep", "sig"), "rep").select("bucket", "rep", "sig").mapInArrow(split, shape)
+    leaves = leaves.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(reps.select("rep", "sketch"), "rep")
+    # in order of rep, each part's root is its smallest rep, so many trees give the same link and distinct() keeps it once
+    ones = leaves.where("blocks = 1").select("bucket", "rep", "sketch").repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(linked, "a long, b long")
+    many = packed(leaves.where("blocks > 1"), "bucket", "blocks", ["rep", "sketch"]).mapInArrow(linked_blocks, "a long, b long")
+    links = stage.put(ones.unionByName(many).distinct(), "candidates")
+    stage.drop(*held)
+    return links
+
+
+def counted(reps: np.ndarray, own: np.ndarray, weight: np.ndarray, size: np.ndarray, tokens: np.ndarray, threshold: float, across: bool) -> pa.RecordBatch:
+    """(rep, root, links): root by all links here; links of the weights of near sets, of the other block alone if across."""
+    owner = np.repeat(np.arange(len(reps)), size)
+    order = np.argsort(tokens, kind="stable")
+    ranked, by = tokens[order], owner[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    begin = np.flatnonzero(new)
+    n = np.diff(np.append(begin, len(ranked)))
+    place = np.empty(len(tokens), np.int64)
+    place[order] = np.cumsum(new) - 1
+    cut = np.concatenate([[0], np.cumsum(size)])
+    links, root = np.zeros(len(reps), np.int64), np.full(len(reps), -1)
+    for start in range(len(reps)):
+        if root[start] >= 0:
+            continue
+        root[start], todo = start, [start]
+        while todo:  # every rep is looked at once
+            k = todo.pop()
+            at = place[cut[k] : cut[k + 1]]
+            at = at[n[at] > 1]
+            where = np.repeat(begin[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(n[at].sum())
+            both = np.bincount(by[where], minlength=len(reps))
+            near = both >= threshold * (size + size[k] - both) - 1e-9
+            near[k] = False
+            links[k] = weight[near & (own != own[k]) if across else near].sum()
+            hit = np.flatnonzero(near & (root < 0))
+            root[hit] = start
+            todo.extend(hit.tolist())
+    return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(reps[root]), pa.array(links)], names=["rep", "root", "links"])
 
 
-def verified(texts: DataFrame, span: int, threshold: float) -> DataFrame:
-    """texts: grp, n, doc, text of candidate groups. (doc, root, links): of each pair of blocks, links of each doc there and its root by them."""
+def verified(sets: DataFrame, stage: Staging, threshold: float) -> DataFrame:
+    """sets: grp, n, bytes (of its tokens), rep, weight, tokens of candidate groups. (rep, root, links): of each pair of blocks, links of each rep there and its root by them."""
+    shape = "rep long, root long, links long"
 
     def verify(batches):
-        memo = Hashes()
+        for group in runs(batches, ["grp"]):
+            size = np.array([len(b) // 8 for b in group["tokens"].to_pylist()], np.int64)
+            tokens = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint64)
+            yield counted(group["rep"].to_numpy(), np.zeros(len(size), np.int64), group["weight"].to_numpy(), size, tokens, threshold, False)
+
+    def verify_blocks(batches):
         for group in runs(batches, ["grp", "i", "j"]):
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            docs, own = group["doc"].to_numpy(), group["own"].to_numpy()
-            sets = [shingles(t, memo, span) for t in group["text"].to_pylist()]
-            size = np.array([len(s) for s in sets])
-            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-            order = np.argsort(tokens, kind="stable")
-            ranked, by = tokens[order], owner[order]
-            new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-            begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(ranked))
-            place = np.empty(len(tokens), np.int64)
-            place[order] = np.cumsum(new) - 1
-            cut = np.concatenate([[0], np.cumsum(size)])
-            near = []
-            for k in range(len(sets)):
-                at = place[cut[k] : cut[k + 1]]
-                n = end[at] - begin[at]
-                where = np.repeat(begin[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                both = np.bincount(by[where], minlength=len(sets))
-                near.append(both >= threshold * (size + size[k] - both) - 1e-9)
-            near = np.array(near)
-            np.fill_diagonal(near, False)
-            count = near & (own[:, None] != own[None, :]) if i != j else near  # pairs within a block count in (i, i) alone
-            root = local_roots(len(sets), lambda k, rows, m=near: m[k, rows])
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(docs[root]), pa.array(count.sum(1).astype(np.int64))], names=["doc", "root", "links"])
-
-    dealt = in_blocks(texts, "grp", "n", BLOCK)
-    return (dealt.select("grp", "i", "j", "own", "doc", "text").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "doc")
-            .mapInArrow(verify, "doc long, root long, links long"))
+            of = lambda name, kind: [np.frombuffer(b, kind) for b in group[name].to_pylist()]  # noqa: B023, E731
+            reps = of("rep", np.int64)
+            own = np.repeat(np.arange(len(reps)), [len(x) for x in reps])
+            yield counted(np.concatenate(reps), own, *[np.concatenate(of(x, np.int64)) for x in ("weight", "size")], np.concatenate(of("tokens", np.uint64)), threshold, len(reps) > 1)
+
+    sets = sets.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
+    ones = sets.where("blocks = 1").select("grp", "rep", "weight", "tokens").repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(verify, shape)
+    many = packed(sets.where("blocks > 1").withColumn("size", (F.length("tokens") / 8).cast("long")), "grp", "blocks", ["rep", "weight", "size", "tokens"]).mapInArrow(verify_blocks, shape)
+    return ones.unionByName(many)
 
 
 def jaccard_classes(docs: DataFrame, span: int = SPAN, threshold: float = THRESHOLD, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id, n_links of each row."""
-    where = scratch(docs.sparkSession)
-    sets = staged(signed(docs, id_col, text_col, span), f"{where}/sets")
-    first = sets.where("digest is not null and doc is not null").groupBy("digest").agg(F.min_by(F.struct("doc", "sig"), "doc").alias("r"))
-    reps = staged(first.select("digest", "r.doc", "r.sig"), f"{where}/reps")
-    links = staged(candidates(reps, where, recall, threshold), f"{where}/candidates")
-    groups = components(links, f"{where}/groups")
-    sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
-    members = staged(groups.join(sizes, "label").select(F.col("label").alias("grp"), "n", F.col("node").alias("doc")), f"{where}/members")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(members, "doc")
-    found = staged(verified(texts, span, threshold), f"{where}/verified")
-    labels = components(found.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")), f"{where}/classes")
-    counts = found.groupBy("doc").agg(F.sum("links").alias("n_links"))
-    of_rep = (reps.select("digest", "doc").join(counts, "doc", "left").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-              .select("digest", F.coalesce("label", "doc").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    of_rep = staged(of_rep, f"{where}/classed")
+    stage = Staging(docs.sparkSession)
+    sets = stage.put(signed(docs, id_col, text_col, span), "sets", free=False)
+    texts = sets.where("digest is not null and doc is not null").groupBy("digest", "th").agg(F.min("doc").alias("doc"), F.first("size").alias("size"))
+    first = texts.groupBy("digest").agg(F.min(F.struct("doc", "th")).alias("r"), F.count("*").alias("weight"), F.first("size").alias("size"))
+    # the number is written with the row, so it stays the same in every later read
+    named = stage.put(first.select(F.monotonically_increasing_id().alias("rep"), "digest", "r.doc", "r.th", "weight", "size"), "named")
+    own = sets.join(named.select("rep", "doc", "th", F.col("digest").alias("d")), ["doc", "th"]).where("digest = d").dropDuplicates(["rep"])
+
+    def sketched(batches):
+        for batch in batches:
+            sketch = [(np.frombuffer(b, np.uint32) & np.uint32(255)).astype(np.uint8).tobytes() for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketch, pa.binary())], names=["rep", "sig", "sketch"])
+
+    reps = stage.put(own.select("rep", "sig").mapInArrow(sketched, "rep long, sig binary, sketch binary"), "reps")
+    links = candidates(reps, stage, recall, threshold)
+    stage.drop(reps)
+    groups = components(links, stage, "groups")
+    stage.drop(links)
+    members = groups.select(F.col("label").alias("grp"), F.col("node").alias("rep")).join(named.select("rep", "doc", "th", "weight", "size"), "rep")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), (8 * F.sum("size")).alias("bytes"))
+    members = stage.put(members.join(sizes, "grp").drop("size"), "members")
+
+    def tokens(batches):
+        memo = Hashes()
+        for batch in batches:
+            got = [shingles(t, memo, span).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.binary())], names=["grp", "n", "bytes", "rep", "weight", "tokens"])
+
+    text = F.col(text_col).cast("string")
+    said = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).join(members, ["doc", "th"]).dropDuplicates(["rep"])
+    said = stage.put(said.select("grp", "n", "bytes", "rep", "weight", "text").mapInArrow(tokens, "grp long, n long, bytes long, rep long, weight long, tokens binary"), "tokens")
+    found = stage.put(verified(said, stage, threshold), "verified")
+    stage.drop(said, members, groups)
+    labels = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), stage, "classes")
+    counts = found.groupBy("rep").agg(F.sum("links").alias("others"))
+    whole = named.select("rep", "digest", "doc", "weight").join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    smallest = whole.where("label is not null").groupBy("label").agg(F.min("doc").alias("class"))
+    of_rep = whole.join(smallest, "label", "left").select("digest", F.coalesce("class", "doc").alias("class"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    of_rep = stage.put(of_rep, "classed")
+    stage.drop(found, labels, named)
     return (sets.select("doc", "digest").join(of_rep, "digest", "left")
-            .select(F.col("doc").alias(id_col), F.when(F.col("doc").isNotNull(), F.coalesce("label", "doc")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+            .select(F.col("doc").alias(id_col), F.when(F.col("doc").isNotNull(), F.coalesce("class", "doc")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
