@@ -37,15 +37,16 @@ DOCNO, ID, START, N, ENDS, NULL = range(rans.PIECE)
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, toks): each text's ids with the end id, packed."""
     whole = docs.sparkSession.sparkContext.broadcast(
-        {t: np.array([i], wordbpe.load(path).dtype).tobytes() for t, i in wordbpe.load(path).proven_whole().items()}
+        wordbpe.load(path).proven_whole()
     )
 
     def encode(batches):
         bpe, proven = wordbpe.load(path), whole.value
-        end = np.array([end_id], bpe.dtype).tobytes()
         for batch in batches:
-            toks = bpe.encode_many(batch.column(1).to_pylist(), proven, end)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(toks, pa.binary())], names=["id", "toks"])
+            ids, n = bpe.encode_many(batch.column(1).to_pylist(), proven, end_id)
+            cuts = np.concatenate([[0], np.cumsum(n)]) * bpe.dtype.itemsize
+            toks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), toks.cast(pa.binary())], names=["id", "toks"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         encode, "id long, toks binary"
@@ -55,13 +56,15 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", tex
 def counted(toks: DataFrame, size: int, dtype: str) -> np.ndarray:
     """How often each id occurs over all documents; summed by task, then by id: what comes to the driver is bounded by the vocabulary."""
 
+    width = np.dtype(dtype).itemsize
+
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for b in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(b, dtype), minlength=size) if len(b) > size else 0
-                if len(b) <= size:
-                    np.add.at(total, np.frombuffer(b, dtype), 1)
+            _, cuts, raw = batch.column(0).buffers()
+            cuts = np.frombuffer(cuts, np.int32)[batch.column(0).offset :][: len(batch) + 1]
+            if len(batch):
+                total += np.bincount(np.frombuffer(raw, dtype)[cuts[0] // width : cuts[-1] // width], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["tok", "n"])
 

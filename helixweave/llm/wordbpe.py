@@ -17,12 +17,16 @@ from collections import Counter
 import numpy as np
 import regex
 
+from . import folding
+
 #: The pre-token pattern of the file's format.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same with letters first, as no other alternative begins with one.
+WIDE = regex.compile(r"[\p{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\s\p{L}\p{N}]+")
 NAMED = regex.compile(r"[\p{L}\p{N}]")
 #: The same over lower-case Latin-1 texts, where the standard library is faster.
 LATIN = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
+    r"[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
 )
 #: Merged pre-tokens remembered by a worker before it starts over.
 MEMO = 400_000
@@ -68,7 +72,20 @@ def latin(text: str) -> bool:
 
 def pretokens(text: str) -> list[str]:
     low = lowered(text)
-    return (LATIN if latin(low) else PRETOKEN).findall(low)
+    return (LATIN if latin(low) else WIDE).findall(low)
+
+
+class Numbers(dict):
+    """A number for each pre-token (str) or special id (int); those that come up for the first time are noted as fresh."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.fresh: list[str | int] = []
+
+    def __missing__(self, t: str | int) -> int:
+        self.fresh.append(t)
+        n = self[t] = len(self)
+        return n
 
 
 class WordBpe:
@@ -84,9 +101,18 @@ class WordBpe:
         self.letters = byte_letters()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.packed: dict[str, bytes] = {}
-        self.is_end = np.zeros(self.size, bool)
-        self.is_end[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+        self.forget()
+        self.read_merges()
+
+    def read_merges(self) -> None:
+        """Merges as sorted keys (left id * size + right id), ranks and results; ids of each byte within a pre-token and at its end."""
+        import json
+
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in json.loads(self.library.to_str())["model"]["merges"]]
+        table = np.array([(vocab[a] * self.size + vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(merges)], np.int64).reshape(-1, 3)
+        self.merge_keys, self.merge_ranks, self.merge_ids = table[np.argsort(table[:, 0])].T.copy()
+        self.byte_ids, self.last_ids = (np.array([vocab[c + end] for c in self.letters], np.int64) for end in ("", "</w>"))
 
     def merge(self, pretoken: str) -> tuple[int, ...]:
         """Ids of one pre-token, by merging."""
@@ -144,51 +170,76 @@ class WordBpe:
                 n += k * (len(ids) - 1)
         return n
 
-    def learn(self, fresh: list[str], memo: dict[str, bytes]) -> None:
-        """Packed ids of pre-tokens into memo. Latin ones are merged many at a time: joined by spaces they stay apart."""
-        plain = [t for t in fresh if latin(t)]
-        for t in {*fresh}.difference(plain):
-            memo[t] = np.array(self.merge(t), self.dtype).tobytes()
-        joined = [" ".join(plain[k : k + 500]) for k in range(0, len(plain), 500)]
-        found = [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.concatenate(found) if found else np.empty(0, self.dtype)
-        cuts = np.flatnonzero(self.is_end[ids]) + 1
-        if len(cuts) != len(plain):
-            raise ValueError("joined pre-tokens don't stay apart")
-        raw, size, at = ids.tobytes(), self.dtype.itemsize, 0
-        for t, end in zip(plain, cuts.tolist(), strict=True):
-            memo[t] = raw[at : end * size]
-            at = end * size
-
-    def encode_many(self, texts: list[str | None], whole: dict[str, bytes], end: bytes = b"") -> list[bytes]:
-        """Ids of each text, packed as self.dtype, and end. Only what isn't proven whole is merged, and remembered."""
-        out: list[bytes] = []
-        if len(self.packed) < len(whole) or len(self.packed) > MEMO:
-            self.packed = dict(whole)
+    def forget(self, whole: dict[str, int] | None = None) -> None:
+        """Start over with only the proven pre-tokens and special ids numbered; ids of number n: flat[start[n] : start[n] + size_of[n]]."""
+        known = {**(whole or {}), **{i: i for i in self.special.values()}}
+        self.numbers = Numbers(zip(known, range(len(known)), strict=True))
+        self.flat = np.fromiter(known.values(), self.dtype, len(known))
+        self.start, self.size_of = np.arange(len(known)), np.ones(len(known), np.int64)
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of each merge."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
+        return np.where(self.merge_keys[at] == key, self.merge_ranks[at], folding.NONE), self.merge_ids[at]
+
+    def learn(self) -> None:
+        """Ids of the fresh pre-tokens, merged: those of few bytes all at once."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        if not fresh:
+            return
+        raw = [t.encode() if type(t) is str else b"" for t in fresh]
+        plain = [k for k, b in enumerate(raw) if 0 < len(b) <= folding.LONG]
+        size = np.fromiter((len(raw[k]) for k in plain), np.int64, len(plain))
+        byte = np.frombuffer(b"".join([raw[k] for k in plain]), np.uint8)
+        sym = self.byte_ids[byte]
+        ends = np.cumsum(size) - 1
+        sym[ends] = self.last_ids[byte[ends]]
+        ids, word = folding.folded(sym, np.repeat(np.arange(len(plain)), size), self.pair)
+        ends = np.cumsum(np.bincount(word, minlength=len(plain)))
+        size = np.zeros(len(fresh), np.int64)
+        size[plain] = np.diff(ends, prepend=0)
+        rest = np.setdiff1d(np.arange(len(fresh)), plain)
+        own = [(t,) if type(t) is int else self.merge(t) for t in (fresh[k] for k in rest)]
+        size[rest] = [len(x) for x in own]
+        order = np.concatenate([plain, rest]).astype(np.int64)  # as the ids of the fresh ones are put down
+        start = np.empty(len(fresh), np.int64)
+        start[order] = len(self.flat) + np.cumsum(size[order]) - size[order]
+        self.start, self.size_of = np.concatenate([self.start, start]), np.concatenate([self.size_of, size])
+        self.flat = np.concatenate([self.flat, ids.astype(self.dtype), np.array([i for x in own for i in x], self.dtype)])
+
+    def encode_many(self, texts: list[str | None], whole: dict[str, int], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each followed by end, and how many each has."""
+        out, counts = [np.empty(0, self.dtype)], []
+        if len(self.numbers) < len(whole):
+            self.forget(whole)
         k = 0
         while k < len(texts):
-            stop, size = k, 0
-            while stop < len(texts) and size < PART:
-                size += len(texts[stop] or "")
-                stop += 1
-            split = [[] if not t else None if self.unknown(t) else list(self.parts(t)) for t in texts[k:stop]]
-            memo = self.packed
-            fresh = {t for parts in split for _, found in parts or () for t in found or () if t not in memo}
-            if fresh:
-                self.learn(list(fresh), memo)
-            for t, parts in zip(texts[k:stop], split, strict=True):
-                if parts is None:
-                    ids = np.array(self.library.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
-                else:
-                    ids = b"".join([b"".join([memo[x] for x in found]) if found is not None else np.array([i], self.dtype).tobytes() for i, found in parts])
-                out.append(ids + end)
-            k = stop
-            if len(memo) > MEMO:
-                self.packed = dict(whole)
-        return out
-
-    def encode_packed(self, text: str, whole: dict[str, bytes]) -> bytes:
-        return self.encode_many([text], whole)[0]
+            part: list[list[str | int]] = []
+            size = 0
+            while k < len(texts) and size < PART:
+                t, said = texts[k], []
+                if t and self.unknown(t):
+                    said = self.library.encode(t, add_special_tokens=False).ids
+                elif t:
+                    for special, found in self.parts(t):
+                        said = found if found is not None and not said else [*said, *(found if found is not None else [special])]
+                part.append(said)
+                if end is not None:
+                    part.append([end])
+                size += len(t or "")
+                k += 1
+            lengths = np.fromiter(map(len, part), np.int64, len(part))
+            at = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(part)), np.int64, lengths.sum())
+            self.learn()
+            n = self.size_of[at]
+            total = np.concatenate([[0], np.cumsum(n)])
+            out.append(self.flat[np.repeat(self.start[at] - total[:-1], n) + np.arange(total[-1])])
+            cuts = total[np.concatenate([[0], np.cumsum(lengths)])]
+            counts.append(np.diff(cuts) if end is None else np.diff(cuts[::2]))
+            if len(self.numbers) > MEMO:
+                self.forget(whole)
+        return np.concatenate(out), np.concatenate(counts) if counts else np.empty(0, np.int64)
 
 
 @functools.lru_cache(maxsize=2)
