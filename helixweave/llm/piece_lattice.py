@@ -1,24 +1,28 @@
-"""Op 6, SentencePiece encoding and decoding: a relational lattice.
+"""Op 6, SentencePiece encoding and decoding: a lattice of pieces over each distinct word.
 
-Texts are cut into words (runs of the space mark with what follows, line ends alone) that no piece crosses.
-The distinct words of all documents are exploded into substrings no longer than the longest piece and equi-joined with
-the piece table (broadcast: bounded by the vocabulary); the edges of a word are grouped and folded with ``aggregate``:
+Texts are cut into words (runs of the space mark with what follows, line ends alone) that no piece crosses. Words are
+exploded into substrings no longer than the longest piece and equi-joined with the piece table; the edges of a word are
+grouped and folded:
 
 - unigram models: Viterbi, the best sum of scores at each end;
 - BPE models: edges in order of rank, each merging the two symbols that it spans at its turn. Viterbi would
   maximise another quantity than BPE does and give other ids than the library, so it isn't used for these.
 
-Characters without a piece become their bytes' pieces. Documents are dealt by a hash of their id over chunks; a chunk
-asks for each of its distinct words once, so a word of many documents makes as many rows as there are chunks, and
-texts are shuffled once. Decoding looks pieces up by id.
+``encode`` does this within the tasks that hold the texts, on Arrow batches: explode, join (by hash, equal hashes count
+only with equal letters) and fold take all new words of a batch at once, and a worker remembers up to MEMO words. No row
+is shuffled. ``encoded_words`` is the same lattice as a Spark plan (explode, broadcast join, grouping, fold by
+higher-order ``aggregate``) over a table of words; for whole texts that form missed its limits (README), as words and
+their ids must be sent to the texts' tasks and back.
 
-Null and empty texts have no ids and decode to the empty text. Rows of equal id are encoded each by its own
-text. Other columns are ignored.
+Characters without a piece become their bytes' pieces. Null and empty texts have no ids and decode to the empty text.
+Words of any length are folded in n log n steps. Rows of equal id are encoded each by its own text. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 
@@ -27,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, tokenizer_path
+from . import folding
+from .shared import tokenizer_path
+from .wordbpe import Numbers
 
 MARK = "▁"
 WORD = re.compile("▁*[^▁\n]+|▁+|\n")
-#: Of stored text in a chunk, and behind the words of one lattice task.
-CHUNK_BYTES, WORD_BYTES = 8 << 20, 1 << 20
+#: Words that a worker remembers until it starts over; characters of texts, and of words, that are taken at once.
+MEMO, PART, FOLD = 400_000, 1 << 20, 1 << 18
 
 
 @functools.lru_cache(maxsize=2)
@@ -160,59 +166,186 @@ def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK)
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", n_chunks: int | None = None, ids: bool = False) -> DataFrame:
-    """Per row: id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), n_byte_tokens, round_trip; with ids=True also ids array<int>."""
-    path = path or tokenizer_path("piece_bpe_32k.model")
-    n = n_chunks or chunks(docs, CHUNK_BYTES)
-    spelled = F.regexp_extract_all(F.concat(F.lit(MARK), F.replace(F.col("text"), F.lit(" "), F.lit(MARK))), F.lit(WORD.pattern), F.lit(0))
-    spelled = F.when(F.col("text") != "", F.array_distinct(spelled))
-    dealt = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).alias("chunk"),
-    ).repartition(n, "chunk")
-    # The flags by id and part keep these columns: so each shuffle is read by two branches and made once; explode_outer, as no filter is inferred for it
-    sent = dealt.select(F.col("chunk").alias("part"), F.col("id").isNull().alias("nameless"), F.explode_outer(spelled).alias("word"))
-    sent = sent.where("word is not null").distinct()
-    asked = sent.repartition(chunks(docs, WORD_BYTES), "word")
-    once = asked.groupBy("word").agg((F.max("part") < 0).alias("flag"), F.max("nameless").alias("unnamed")).select(F.xxhash64("word").alias("h"), "*")
-    back = asked.join(encoded_words(once, path), "word").select("part", "word", "ids", (F.col("flag") | F.col("unnamed") | F.col("nameless")).alias("flag")).groupBy("part")
-    _, first_byte, raw = pieces(path)
-    shared = docs.sparkSession.sparkContext.broadcast(raw)
-
-    def joined(group: pa.Table, replies: pa.Table) -> pa.Table:
-        raw_of = shared.value
-        flat = replies["ids"].combine_chunks()
-        flat = flat if isinstance(flat, pa.ListArray) else flat.chunk(0)
-        values, cuts = flat.flatten().to_numpy().astype("<u4"), flat.offsets.to_numpy() - flat.offsets[0].as_py()
-        own = replies["word"].to_pylist()
-        packed = {w: values[a:b].tobytes() for w, a, b in zip(own, cuts, cuts[1:], strict=False)}
-        flat_ids, ends = values.tolist(), cuts.tolist()
-        # words partition the marked text, so it comes back if each word does and no mark was there before
-        lost = {w for w, a, b in zip(own, ends, ends[1:], strict=False) if b"".join([raw_of[i] for i in flat_ids[a:b]]) != w.replace(MARK, " ").encode()}
-        cols: dict[str, list] = {k: [] for k in ("n", "crc", "byte", "same", "ids")}
-        for t in group["text"].to_pylist():
-            said = WORD.findall(marked(t)) if t else []
-            coded = b"".join([packed[w] for w in said])
-            a = np.frombuffer(coded, "<u4")
-            cols["n"].append(len(a)), cols["crc"].append(zlib.crc32(coded))
-            cols["byte"].append(int(((a >= first_byte) & (a < first_byte + 256)).sum()))
-            cols["same"].append(MARK not in (t or "") and (not lost or lost.isdisjoint(said)))
-            if ids:
-                cols["ids"].append(a.astype(np.int32))
-        out = {id_col: group["id"], "n_tokens": pa.array(cols["n"], pa.int64()), "ids_crc32": pa.array(cols["crc"], pa.int64()),
-               "n_byte_tokens": pa.array(cols["byte"], pa.int64()), "round_trip": pa.array(cols["same"], pa.bool_())}
-        return pa.table(out | ({"ids": pa.array(cols["ids"], pa.list_(pa.int32()))} if ids else {}))
+class Lattice:
+    """Pieces by length and hash; words numbered so far and their ids."""
+
+    MULT = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, table: list[tuple[str, int, float]], byte_id: int, unigram: bool = False):
+        ranked = sorted(table, key=lambda r: (-r[2], r[1]))
+        self.rank = {p: k for k, (p, _, _) in enumerate(ranked)}
+        self.ids, self.scores = np.array([i for _, i, _ in ranked], np.int64), np.array([w for _, _, w in ranked])
+        self.byte_id, self.unigram, self.longest = byte_id, unigram, max(map(len, self.rank))
+        self.by_length = {}
+        for n in sorted({len(p) for p in self.rank}):
+            own = [p for p in self.rank if len(p) == n]
+            letters = codes("".join(own)).reshape(-1, n)
+            h = np.zeros(len(own), np.uint64)
+            for k in range(n):
+                h = self.longer(h, letters[:, k])
+            order = np.argsort(h)
+            self.by_length[n] = h[order], letters[order], np.array([self.rank[p] for p in own], np.int64)[order]
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.flat = Numbers(), np.empty(0, np.int32)
+        self.start, self.size_of = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def longer(self, h: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        h = (h ^ letter.astype(np.uint64)) * self.MULT
+        return h ^ (h >> np.uint64(29))
+
+    def edges(self, letters: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """[length, place]: rank of the piece of that length from that place on, or NONE. room: letters from a place to its word's end."""
+        out = np.full((self.longest + 1, len(letters)), folding.NONE)
+        at, h = np.arange(len(letters)), np.zeros(len(letters), np.uint64)
+        for n in range(1, self.longest + 1):
+            some = room[at] >= n
+            at, h = at[some], h[some]
+            h = self.longer(h, letters[at + n - 1])
+            if n not in self.by_length or not len(at):
+                continue
+            known, spelled, ranks = self.by_length[n]
+            found = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = np.flatnonzero(known[found] == h)
+            hit = hit[(letters[at[hit][:, None] + np.arange(n)] == spelled[found[hit]]).all(1)]
+            out[n, at[hit]] = ranks[found[hit]]
+        return out
+
+    def best(self, edge: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """Viterbi over one word: (start, end) of each piece of the best path; a letter without a piece counts far below any. Ties go to the piece that begins first."""
+        score, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
+        unknown = min(self.scores.min(), 0.0) - 1e4
+        for e in range(1, n + 1):
+            for s in range(max(0, e - self.longest), e):
+                r = edge[e - s, s]
+                w = score[s] + (self.scores[r] if r != folding.NONE else unknown if e - s == 1 else -np.inf)
+                if w > score[e]:
+                    score[e], back[e] = w, s
+        path = [n]
+        while path[-1]:
+            path.append(back[path[-1]])
+        return list(zip(path[:0:-1], path[-2::-1], strict=True))
+
+    def fold(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        letters, first = codes("".join(words)), np.cumsum(size) - size
+        word = np.repeat(np.arange(len(words)), size)
+        edge = self.edges(letters, (first + size)[word] - np.arange(len(letters)))
+        if self.unigram:
+            spans = [(k, a, b) for k in range(len(words)) for a, b in self.best(edge[:, first[k] : first[k] + size[k]], int(size[k]))]
+        else:
+            spans = [(k, a, b) for k in np.flatnonzero(size > folding.LONG) for a, b in folding.folded_alone(int(size[k]), lambda a, b, w=words[k]: self.rank.get(w[a:b]) if b - a <= self.longest else None)]
+        odd = np.array(spans, np.int64).reshape(-1, 3)
+        starts, lengths, of = first[odd[:, 0]] + odd[:, 1], odd[:, 2] - odd[:, 1], odd[:, 0]
+        if not self.unigram:
+            # a symbol is its start * (longest + 1) + its length
+            step = self.longest + 1
+
+            def pair(left, right):
+                at, n = left // step, left % step + right % step
+                fits = n <= self.longest
+                return np.where(fits, edge[np.where(fits, n, 0), at], folding.NONE), at * step + n
+
+            short = np.flatnonzero((size <= folding.LONG)[word])
+            sym, owner = folding.folded(short * step + 1, word[short], pair)
+            starts, lengths, of = np.concatenate([sym // step, starts]), np.concatenate([sym % step, lengths]), np.concatenate([owner, of])
+            order = np.argsort(starts)
+            starts, lengths, of = starts[order], lengths[order], of[order]
+        rank = edge[lengths, starts]
+        ids = np.where(rank == folding.NONE, -1, self.ids[np.where(rank == folding.NONE, 0, rank)])
+        out = np.split(ids, np.cumsum(np.bincount(of, minlength=len(words)))[:-1])
+        for k in np.unique(of[ids < 0]):
+            own = np.flatnonzero(of == k)
+            out[k] = np.array([i for j in own for i in ([ids[j]] if ids[j] >= 0 else [self.byte_id + b for b in chr(letters[starts[j]]).encode()])], np.int64)
+        return out
+
+    def learn(self) -> None:
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        own: list[np.ndarray] = []
+        k = 0
+        while k < len(fresh):
+            stop, size = k, 0
+            while stop < len(fresh) and size < FOLD:
+                size += len(fresh[stop])
+                stop += 1
+            own += self.fold(fresh[k:stop])
+            k = stop
+        if own:
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size_of = np.concatenate([self.size_of, size])
+            self.flat = np.concatenate([self.flat, *own]).astype(np.int32)
+
+    def encode(self, texts: list[str | None]):
+        """Ids of each text, as arrays."""
+        k = 0
+        while k < len(texts):
+            said, size = [], 0
+            while k < len(texts) and size < PART:
+                said.append(WORD.findall(marked(texts[k])) if texts[k] else [])
+                size += len(texts[k] or "")
+                k += 1
+            lengths = np.fromiter(map(len, said), np.int64, len(said))
+            at = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(said)), np.int64, lengths.sum())
+            self.learn()
+            n = self.size_of[at]
+            total = np.concatenate([[0], np.cumsum(n)])
+            ids = self.flat[np.repeat(self.start[at] - total[:-1], n) + np.arange(total[-1])]
+            cuts = total[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+            yield from (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+            if len(self.numbers) > MEMO:
+                self.forget()
+
+
+def codes(letters: str) -> np.ndarray:
+    return np.frombuffer(letters.encode("utf-32-le"), "<u4")
+
+
+def decoded(ids: list[int], raw: list[bytes]) -> bytes:
+    """The text of ids: pieces' bytes joined, without the first mark."""
+    return b"".join([raw[i] for i in ids])[1:]
+
+
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """Per row: id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), n_byte_tokens, round_trip (whether the ids decode to the text); with ids=True also ids array<int>."""
+    table, first_byte, raw = pieces(path or tokenizer_path("piece_bpe_32k.model"))
+    shared = docs.sparkSession.sparkContext.broadcast((table, first_byte, raw))
+
+    def coded(batches):
+        table, first, raw = shared.value
+        lattice = Lattice(table, first)
+        for batch in batches:
+            cols: dict[str, list] = {k: [] for k in ("n", "crc", "byte", "same", "ids")}
+            texts = batch.column(1).to_pylist()
+            for t, a in zip(texts, lattice.encode(texts), strict=True):
+                cols["n"].append(len(a)), cols["crc"].append(zlib.crc32(a.astype("<u4").tobytes()))
+                cols["byte"].append(int(((a >= first) & (a < first + 256)).sum()))
+                cols["same"].append(decoded(a.tolist(), raw) == (t or "").encode())
+                if ids:
+                    cols["ids"].append(a)
+            out = {id_col: batch.column(0), "n_tokens": pa.array(cols["n"], pa.int64()), "ids_crc32": pa.array(cols["crc"], pa.int64()),
+                   "n_byte_tokens": pa.array(cols["byte"], pa.int64()), "round_trip": pa.array(cols["same"], pa.bool_())}
+            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(cols["ids"], pa.list_(pa.int32()))} if ids else {}))
 
     shape = f"`{id_col}` long, n_tokens long, ids_crc32 long, n_byte_tokens long, round_trip boolean" + ", ids array<int>" * ids
-    return dealt.groupBy("chunk").cogroup(back).applyInArrow(joined, shape)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(coded, shape)
 
 
-def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """rows with text: the pieces of ids joined, bytes put together, marks as spaces, without the first."""
-    _, _, raw = pieces(path or tokenizer_path("piece_bpe_32k.model"))
-    table = F.array(*[F.lit(b.hex().upper()) for b in raw])
-    hexa = F.array_join(F.transform(ids_col, lambda i: F.element_at(table, i + 1)), "")
-    return rows.withColumn("text", F.decode(F.unhex(F.substring(hexa, F.lit(3), F.length(hexa))), "UTF-8"))
+def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """rows with the text of their ids as their last column. Null ids decode to null."""
+    if text_col in rows.columns:
+        raise ValueError(f"there is a column {text_col} already")
+    raw = rows.sparkSession.sparkContext.broadcast(pieces(path or tokenizer_path("piece_bpe_32k.model"))[2])
+    at = rows.columns.index(ids_col)
+
+    def spelled(batches):
+        for batch in batches:
+            texts = [None if i is None else decoded(i, raw.value).decode("utf-8", "replace") for i in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+
+    return rows.mapInArrow(spelled, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{text_col}` string")
 
 
 def spark_words(spark: SparkSession, words: list[str]) -> DataFrame:
