@@ -33,9 +33,13 @@ from .shared import Staging
 from .terms import Hashes, hashed, runs, terms, windows
 
 SPAN, THRESHOLD = 5, 0.8
-T, BRANCH, DEPTH, LEAF = 128, 2.0, 4, 64
-#: Rows, and bytes of tokens, that a block holds on average.
+T, BRANCH, DEPTH = 128, 2.0, 4
+#: Rows, and bytes of tokens, that a block holds on average. A bucket of one block is compared as it is (4,096 sketches of
+#: 128 bytes: a second at most where none agree), so splitting it would only make more rows.
 BLOCK, BLOCK_BYTES = 4096, 8 << 20
+LEAF = BLOCK
+#: Bits of the filter that picks texts to be read again: 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
 LOOSE = 0.66
 
 _rng = np.random.default_rng(20_250_101)
@@ -262,6 +266,18 @@ def verified(sets: DataFrame, stage: Staging, threshold: float) -> DataFrame:
     return ones.unionByName(many)
 
 
+def slot():
+    return F.pmod(F.xxhash64("doc", "th"), F.lit(FILTER_BITS)).alias("slot")
+
+
+def picked(members: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits of members' (doc, th): texts that aren't in it need not be read again; the join that follows is exact."""
+    words = members.select(slot()).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
 def jaccard_classes(docs: DataFrame, span: int = SPAN, threshold: float = THRESHOLD, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id, n_links of each row."""
     stage = Staging(docs.sparkSession)
@@ -286,15 +302,20 @@ def jaccard_classes(docs: DataFrame, span: int = SPAN, threshold: float = THRESH
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"), (8 * F.sum("size")).alias("bytes"))
     members = stage.put(members.join(sizes, "grp").drop("size"), "members")
 
+    wanted = docs.sparkSession.sparkContext.broadcast(picked(members))
+
     def tokens(batches):
-        memo = Hashes()
+        memo, bits = Hashes(), wanted.value
         for batch in batches:
-            got = [shingles(t, memo, span).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.binary())], names=["grp", "n", "bytes", "rep", "weight", "tokens"])
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
+            got = [shingles(t, memo, span).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.binary())], names=["doc", "th", "tokens"])
 
     text = F.col(text_col).cast("string")
-    said = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).join(members, ["doc", "th"]).dropDuplicates(["rep"])
-    said = stage.put(said.select("grp", "n", "bytes", "rep", "weight", "text").mapInArrow(tokens, "grp long, n long, bytes long, rep long, weight long, tokens binary"), "tokens")
+    said = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).where("doc is not null")
+    said = said.select("doc", "th", slot(), "text").mapInArrow(tokens, "doc long, th long, tokens binary").join(members, ["doc", "th"]).dropDuplicates(["rep"])
+    said = stage.put(said.select("grp", "n", "bytes", "rep", "weight", "tokens"), "tokens")
     found = stage.put(verified(said, stage, threshold), "verified")
     stage.drop(said, members, groups)
     labels = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), stage, "classes")
