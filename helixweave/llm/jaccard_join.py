@@ -272,7 +272,7 @@ def slot():
 
 def picked(members: DataFrame) -> np.ndarray:
     """A filter of FILTER_BITS bits of members' (doc, th): texts that aren't in it need not be read again; the join that follows is exact."""
-    words = members.select(slot()).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    words = members.select(slot()).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint8)
