@@ -191,11 +191,6 @@ def chain_exact(v):
     return chaining.best_scores(mapping.anchors(v.items(), v.docs()), 12, chaining.ChainConfig().scaled(12))
 
 
-@query()
-def chain_path(v):
-    return chaining.chains(mapping.anchors(v.items(), v.docs()), 12, chaining.ChainConfig().scaled(12))
-
-
 @query(f"""{_ANCHORS}, d AS (SELECT *, ref - q AS diag, lag(q) OVER w + 12 AS reach FROM anchors WINDOW w AS (PARTITION BY read, path, ref - q ORDER BY q)),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR q > reach THEN 1 ELSE 0 END) OVER (PARTITION BY read, path, diag ORDER BY q) AS isl FROM d)
 SELECT read, path, min(ref) AS ref, min(q) AS q, max(q) + 12 - min(q) AS length FROM g GROUP BY read, path, diag, isl""", "items docs")
@@ -288,11 +283,6 @@ def tstat_profile(v):
     return sig.t_statistic(sig.filtered(v.samples()), 3).select("read", "idx", F.round("t", 4).alias("t"))
 
 
-@query()
-def event_peaks(v):
-    return sig.event_peaks(sig.filtered(v.samples()))
-
-
 @query(f"""{_FILT}, s AS (SELECT read, idx // 8 AS seg, list_sort(list(pa)) AS x FROM filt GROUP BY 1, 2), q AS (SELECT *, x[len(x) // 4 + 1] AS q1, x[len(x) * 3 // 4 + 1] AS q3 FROM s)
 SELECT read, seg, CAST(len(x) AS BIGINT) AS n, round(list_avg(list_filter(x, lambda v: v >= 2 * q1 - q3 AND v <= 2 * q3 - q1)), 6) AS mean FROM q""", "samples")
 def event_means_iqr(v):
@@ -578,3 +568,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+# registers its queries here
+from helixweave import catalog_chains  # noqa: E402, F401

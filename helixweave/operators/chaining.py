@@ -61,58 +61,96 @@ def chain_scores(ref: np.ndarray, q: np.ndarray, span: int, cfg: ChainConfig) ->
     return f, back
 
 
-def extracted(ref, q, span: int, cfg: ChainConfig) -> list[tuple[float, list[int]]]:
-    """(score, anchors) of chains from the best end down; a chain that meets a used anchor is dropped, its anchors stay used."""
+def forest(ref, q, span: int, cfg: ChainConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Score, predecessor, root and number of anchors so far at each anchor: predecessors make a forest."""
     f, back = chain_scores(ref, q, span, cfg)
-    used, out = np.zeros(len(f), bool), []
-    for end in np.lexsort((np.arange(len(f)), -f)):
-        if f[end] < cfg.min_score or used[end]:
-            continue
-        walk, at, clash = [], int(end), False
-        while at >= 0:
-            if used[at]:
-                clash = True
-                break
-            used[at] = True
-            walk.append(at)
-            at = int(back[at])
-        if not clash and len(walk) >= cfg.min_anchors:
-            out.append((float(f[end]), walk[::-1]))
-    return [c for c in out[: cfg.max_chains] if c[0] >= cfg.secondary_ratio * out[0][0]]
+    root, depth = np.arange(len(f)), np.ones(len(f), np.int64)
+    for i in np.flatnonzero(back >= 0):  # ascending, and predecessors come first
+        root[i], depth[i] = root[back[i]], depth[back[i]] + 1
+    return f, back, root, depth
 
 
-def chains(anchors: DataFrame, span: int, cfg: ChainConfig) -> DataFrame:
-    """anchors: read, path, ref, q. Per read and path its chains: rank, score, anchors, ends on both sides.
+def extracted(ref, q, span: int, cfg: ChainConfig) -> list[tuple[float, list[int]]]:
+    """(score, anchors) of chains, best first: of each tree of the forest the path to its best end (the first of equal ones).
 
-    A group is one read against one path, bounded by their lengths; groups are spread by (read, path).
+    The other paths of a tree meet that one, and chains share no anchor.
+    """
+    f, back, root, depth = forest(ref, q, span, cfg)
+    best: dict[int, int] = {}
+    for end in np.lexsort((np.arange(len(f)), -f)).tolist():
+        best.setdefault(int(root[end]), end)
+    ends = [e for e in best.values() if f[e] >= cfg.min_score and depth[e] >= cfg.min_anchors]
+    out = []
+    for end in ends[: cfg.max_chains]:
+        walk = [end]
+        while back[walk[-1]] >= 0:
+            walk.append(int(back[walk[-1]]))
+        out.append((float(f[end]), walk[::-1]))
+    return [c for c in out if c[0] >= cfg.secondary_ratio * out[0][0]]
+
+
+def used_anchors(ref, q, span: int, cfg: ChainConfig) -> np.ndarray:
+    """Which anchors lie on the way to an end that scores enough."""
+    f, back, _, _ = forest(ref, q, span, cfg)
+    used = f >= cfg.min_score
+    for i in range(len(f) - 1, -1, -1):
+        if used[i] and back[i] >= 0:
+            used[back[i]] = True
+    return used
+
+
+def by_group(anchors: DataFrame, cfg: ChainConfig, kernel, shape: str) -> DataFrame:
+    """kernel(read, path, ref, q) gives rows of shape for the anchors, in order of (ref, q), of each read on each path.
+
+    Anchors stream through the tasks in order; where two neighbours lie farther apart than a link may reach, nothing
+    before meets anything after, but the rows of a group are ranked together, so a group is held until it ends.
     """
+    names = [x.split()[0] for x in shape.split(", ")]
+
     def run(frames):
         import pandas as pd
 
+        held = None
         for pdf in frames:
-            rows = []
-            for read, path, at in zip(pdf["read"], pdf["path"], pdf["at"], strict=True):
-                ref, q = np.array([x["ref"] for x in at], np.int64), np.array([x["q"] for x in at], np.int64)
-                for rank, (score, walk) in enumerate(extracted(ref, q, span, cfg)):
-                    r, p = ref[walk], q[walk]
-                    rows.append((read, path, rank, score, len(walk), int(p.min()), int(p.max()) + span, int(r.min()), int(r.max()) + span))
-            yield pd.DataFrame(rows, columns=["read", "path", "rank", "score", "anchors", "q_start", "q_end", "ref_start", "ref_end"])
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            new = (pdf["read"] != pdf["read"].shift()) | (pdf["path"] != pdf["path"].shift())
+            cuts = [*np.flatnonzero(new.to_numpy()).tolist(), len(pdf)]
+            rows = [r for a, b in zip(cuts[:-2], cuts[1:-1], strict=True) for r in kernel(pdf["read"].iat[a], pdf["path"].iat[a], pdf["ref"].to_numpy()[a:b], pdf["q"].to_numpy()[a:b])]
+            held = pdf.iloc[cuts[-2]:] if len(cuts) > 1 else None
+            yield pd.DataFrame(rows, columns=names)
+        if held is not None and len(held):
+            yield pd.DataFrame(kernel(held["read"].iat[0], held["path"].iat[0], held["ref"].to_numpy(), held["q"].to_numpy()), columns=names)
+
+    at = anchors.select("read", "path", F.col("ref").cast("long").alias("ref"), F.col("q").cast("long").alias("q"))
+    return at.repartition("read", "path").sortWithinPartitions("read", "path", "ref", "q").mapInPandas(run, shape)
+
+
+def chains(anchors: DataFrame, span: int, cfg: ChainConfig) -> DataFrame:
+    """anchors: read, path, ref, q. Per read and path its chains: rank, score, anchors, ends on both sides."""
+    def kernel(read, path, ref, q):
+        for rank, (score, walk) in enumerate(extracted(ref, q, span, cfg)):
+            yield read, path, rank, score, len(walk), int(q[walk].min()), int(q[walk].max()) + span, int(ref[walk].min()), int(ref[walk].max()) + span
+
+    return by_group(anchors, cfg, kernel, "read long, path long, rank long, score double, anchors long, q_start long, q_end long, ref_start long, ref_end long")
+
+
+def survivors(anchors: DataFrame, span: int, cfg: ChainConfig) -> DataFrame:
+    """read, path, ref, q of the anchors that some chain uses."""
+    def kernel(read, path, ref, q):
+        return [(read, path, int(ref[i]), int(q[i])) for i in np.flatnonzero(used_anchors(ref, q, span, cfg))]
+
+    return by_group(anchors, cfg, kernel, "read long, path long, ref long, q long")
 
-    grouped = anchors.groupBy("read", "path").agg(F.sort_array(F.collect_list(F.struct("ref", "q"))).alias("at"))
-    return grouped.mapInPandas(run, "read long, path long, rank long, score double, anchors long, q_start long, q_end long, ref_start long, ref_end long")
+
+def kept_hits(hits: DataFrame, alive: DataFrame) -> DataFrame:
+    """hits (read, q and others) that a surviving anchor comes from."""
+    return hits.join(alive.select("read", "q").distinct(), ["read", "q"], "left_semi")
 
 
 def best_scores(anchors: DataFrame, span: int, cfg: ChainConfig) -> DataFrame:
     """read, path, n, score: the best chain's score of each group, exact."""
-    def run(frames):
-        import pandas as pd
+    def kernel(read, path, ref, q):
+        f, _ = chain_scores(ref, q, span, cfg)
+        return [(read, path, len(f), float(f.max()))]
 
-        for pdf in frames:
-            rows = []
-            for read, path, at in zip(pdf["read"], pdf["path"], pdf["at"], strict=True):
-                f, _ = chain_scores(np.array([x["ref"] for x in at], np.int64), np.array([x["q"] for x in at], np.int64), span, cfg)
-                rows.append((read, path, len(f), float(f.max())))
-            yield pd.DataFrame(rows, columns=["read", "path", "n", "score"])
-
-    grouped = anchors.groupBy("read", "path").agg(F.sort_array(F.collect_list(F.struct("ref", "q"))).alias("at"))
-    return grouped.mapInPandas(run, "read long, path long, n long, score double")
+    return by_group(anchors, cfg, kernel, "read long, path long, n long, score double")

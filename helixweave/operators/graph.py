@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixweave.functions.bits import revcomp
+from helixweave.store import fresh_folder, row_numbers, written
 
 
 def expand_nodes(nodes: DataFrame) -> DataFrame:
@@ -60,29 +64,61 @@ def path_sequences(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "").alias("seq"))
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) of a table of links u, v. Labels move to neighbours and on to the
-    label's label until none changes; each round is checkpointed, so plans stay short and survive lost executors."""
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="helixweave-"))
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    label's label until none changes; each round is a written table, so plans stay short and survive lost executors."""
+    where = fresh_folder(edges.sparkSession, "components")
+    both = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{where}/links")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("label"))
-    for _ in range(rounds):
+    for k in itertools.count():
         seen = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("seen"))
         low = labels.join(seen, "node").select("node", "label", F.least("label", "seen").alias("low"))
         beyond = labels.select(F.col("node").alias("low"), F.col("label").alias("beyond"))
-        new = low.join(beyond, "low", "left").select("node", F.least("low", "beyond").alias("label"), (F.least("low", "beyond") < F.col("label")).alias("moved")).checkpoint()
+        new = low.join(beyond, "low", "left").select("node", F.least("low", "beyond").alias("label"), (F.least("low", "beyond") < F.col("label")).alias("moved"))
+        new = written(new, f"{where}/{k}")
         labels = new.select("node", "label")
         if new.where("moved").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def numbered(labels: DataFrame) -> DataFrame:
     """node, component: 0 for the largest, ties by smallest node."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    rank = sizes.select("label", "size", (F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1).cast("long").alias("component"))
-    return labels.join(rank, "label").select("node", "component", "size")
+    return labels.join(row_numbers(sizes, [F.desc("size"), F.asc("label")], "component"), "label").select("node", "component", "size")
+
+
+def path_links(steps: DataFrame) -> DataFrame:
+    """u, v: segments that follow each other on a path, strands aside; a path of one step links its segment to itself."""
+    w = Window.partitionBy("path").orderBy("step")
+    return steps.select(F.col("node").alias("u"), F.coalesce(F.lead("node").over(w), F.col("node")).alias("v")).distinct()
+
+
+def zero_based(layout: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label, x less the smallest x of the node's component."""
+    at = layout.join(labels, "node")
+    low = at.groupBy("label").agg(F.min("x").alias("low"))
+    return at.join(low, "label").select("node", "label", (F.col("x") - F.col("low")).alias("x"))
+
+
+def initial_layout(nodes: DataFrame, steps: DataFrame | None = None, lin: DataFrame | None = None) -> DataFrame:
+    """node, x to start a layout with: with lin, the place on the smallest path that holds the node; else segments one after another in order of ord."""
+    if lin is not None:
+        return lin.groupBy("node").agg(F.min_by("coord", F.struct("path", "step")).cast("double").alias("x"))
+    w = Window.partitionBy("block").orderBy("ord")
+    # running sums by blocks of ordinals: what meets in one task is a sum for each block
+    cut = nodes.select("ord", "len", F.floor(F.col("ord") / 100_000).alias("block"))
+    sums = cut.groupBy("block").agg(F.sum("len").alias("s"))
+    base = sums.select("block", (F.sum("s").over(Window.orderBy("block")) - F.col("s")).alias("base"))
+    return cut.withColumn("own", F.sum("len").over(w) - F.col("len")).join(F.broadcast(base), "block").select(F.col("ord").alias("node"), (F.col("own") + F.col("base")).cast("double").alias("x"))
+
+
+def learning_rates(spark, rounds: int, largest: float, least: float, peak_at: int = 0):
+    """round, rate: exponential decay on both sides of the round with the largest rate."""
+    decay = math.log(largest / least) / max(rounds - 1, 1)
+    return spark.range(rounds).select(F.col("id").alias("round"), (F.lit(largest) * F.exp(-decay * F.abs(F.col("id") - peak_at))).alias("rate"))
+
+
+def sampling_index(lin: DataFrame) -> DataFrame:
+    """path, rank, node, coord of the forward steps of each path in order of coord: what layouts draw pairs from."""
+    order = Window.partitionBy("path").orderBy("coord", "step")
+    return lin.where("not rev").select("path", (F.row_number().over(order) - 1).cast("long").alias("rank"), "node", "coord")

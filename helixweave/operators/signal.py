@@ -58,49 +58,3 @@ def valleys(signals: DataFrame) -> DataFrame:
     left, right = F.lag("v").over(w), F.lead("v").over(w)
     low = (left.isNull() | (F.col("v") <= left)) & (right.isNull() | (F.col("v") <= right))
     return at.withColumn("low", low).where("low").select("read", F.col("pos").cast("long").alias("pos"), "v")
-
-
-def detect_peaks(t_short, t_long, w_short: int, w_long: int, threshold_short: float, threshold_long: float, height: float) -> list[int]:
-    """The two coupled peak detectors over t-statistics of a read, in order of detection. Sequential by nature: a kernel."""
-    state = [{"pos": -1, "value": float("inf"), "valid": False, "masked": 0, "w": w, "limit": lim} for w, lim in ((w_short, threshold_short), (w_long, threshold_long))]
-    out = []
-    for i in range(len(t_short)):
-        for k, s in enumerate(state):
-            if s["masked"] >= i:
-                continue
-            now = t_short[i] if k == 0 else t_long[i]
-            if s["pos"] < 0:
-                if now < s["value"]:
-                    s["value"] = now
-                elif now - s["value"] > height:
-                    s["value"], s["pos"] = now, i
-                continue
-            if now > s["value"]:
-                s["value"], s["pos"] = now, i
-            if k == 0 and s["value"] > s["limit"]:
-                other = state[1]
-                other.update(masked=s["pos"] + s["w"], pos=-1, value=float("inf"), valid=False)
-            if s["value"] - now > height and s["value"] > s["limit"]:
-                s["valid"] = True
-            if s["valid"] and i - s["pos"] > s["w"] // 2:
-                out.append(s["pos"])
-                s.update(pos=-1, value=now, valid=False)
-    return out
-
-
-def event_peaks(samples: DataFrame, w_short: int = 3, w_long: int = 9, threshold_short: float = 4.0, threshold_long: float = 3.5, height: float = 0.4) -> DataFrame:
-    """read, ord, peak by the two detectors over each read's t-statistics."""
-    both = t_statistic(samples, w_short).withColumnRenamed("t", "a").join(t_statistic(samples, w_long).withColumnRenamed("t", "b"), ["read", "idx"])
-    reads = both.groupBy("read").agg(F.sort_array(F.collect_list(F.struct("idx", "a", "b"))).alias("t"))
-
-    def detect(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            rows = []
-            for read, t in zip(pdf["read"], pdf["t"], strict=True):
-                found = detect_peaks([x["a"] for x in t], [x["b"] for x in t], w_short, w_long, threshold_short, threshold_long, height)
-                rows += [(read, k, p) for k, p in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["read", "ord", "peak"])
-
-    return reads.mapInPandas(detect, "read long, ord long, peak long")

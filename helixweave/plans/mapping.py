@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from helixweave.operators import chaining, decide, index, seeds
 from helixweave.operators.chaining import ChainConfig
+from helixweave.sources.index_store import Index, save
+from helixweave.store import fresh_folder
 
 K, W, CAP = 12, 3, 0.99
 
@@ -16,10 +18,17 @@ def base_index(paths: DataFrame, k: int = K, w: int = W) -> DataFrame:
     return index.entries(seeds.minimizers(seeds.base_kmers(paths, k), w).select("hash", F.col("read").alias("node"), F.col("pos").alias("offset")))
 
 
-def anchors(reads: DataFrame, paths: DataFrame, k: int = K, w: int = W, cap: float = CAP) -> DataFrame:
-    """read, path, ref, q: where minimizers of reads occur, without hashes over the percentile cap."""
-    built = base_index(paths, k, w)
-    found = index.lookup(seeds.minimizers(seeds.base_kmers(reads, k), w), built, index.percentile_cap(index.frequencies(built), cap))
+def stored_index(paths: DataFrame, k: int = K, w: int = W) -> Index:
+    """The index of paths, written once: its cap, its counts and its postings are read from there."""
+    where = fresh_folder(paths.sparkSession, "index")
+    save(seeds.minimizers(seeds.base_kmers(paths, k), w).select("hash", F.col("read").alias("node"), F.col("pos").alias("offset")), where, "base", k, w)
+    return Index(paths.sparkSession, where, "base")
+
+
+def anchors(reads: DataFrame, paths: DataFrame | Index, k: int = K, w: int = W, cap: float = CAP) -> DataFrame:
+    """read, path, ref, q: where minimizers of reads occur, without hashes over the percentile cap. paths: sequences, or the index of some."""
+    built = paths if isinstance(paths, Index) else stored_index(paths, k, w)
+    found = built.lookup(seeds.minimizers(seeds.base_kmers(reads, built.k), built.w), index.percentile_cap(built.counts, cap))
     return found.select("read", F.col("node").alias("path"), F.col("offset").alias("ref"), F.col("pos").alias("q"))
 
 

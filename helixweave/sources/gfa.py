@@ -6,9 +6,11 @@ order without bringing them to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixweave.store import row_numbers
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """at (ascending in file order), f (fields); blank lines and comments left out."""
@@ -31,8 +33,7 @@ def overlap(cigar: Column) -> Column:
 
 def segments(rows: DataFrame) -> DataFrame:
     s = of_kind(rows, "S", 3)
-    # ordinals: one window over ids only; sequences don't move
-    return s.select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("ord"), F.col("f")[1].alias("id"), F.col("f")[2].alias("sequence"))
+    return row_numbers(s.select("at", F.col("f")[1].alias("id"), F.col("f")[2].alias("sequence")), [F.asc("at")], "ord").select("ord", "id", "sequence")
 
 
 def links(rows: DataFrame) -> DataFrame:
@@ -58,3 +59,32 @@ def gfa_lines(segs: DataFrame, lnk: DataFrame) -> DataFrame:
     cigar = F.coalesce(F.concat(F.col("overlap_bases").cast("string"), F.lit("M")), F.lit("*"))
     rows = lnk.select(F.lit(2).alias("kind"), F.concat_ws(" ", "from", "to").alias("key"), F.concat_ws("\t", F.lit("L"), "from", side("from_rev"), "to", side("to_rev"), cigar).alias("value"))
     return head.unionByName(s).unionByName(rows).orderBy("kind", "key", "value").select("value")
+
+
+def step_rows(segs: DataFrame, steps: DataFrame) -> DataFrame:
+    """path (number of the name in order of names), name, step, node (ordinal of the segment), rev; steps on unknown segments drop out."""
+    names = row_numbers(steps.select("name").distinct(), [F.asc("name")], "path")
+    known = steps.join(segs.select(F.col("id").alias("segment_id"), F.col("ord").alias("node")), "segment_id").join(names, "name")
+    return known.select("path", "name", F.col("step_idx").cast("long").alias("step"), "node", F.col("is_rev").alias("rev"))
+
+
+def path_lines(steps: DataFrame) -> DataFrame:
+    """value: P lines of steps (name, step_idx, segment_id, is_rev)."""
+    one = F.struct("step_idx", F.concat("segment_id", F.when(F.col("is_rev"), "-").otherwise("+")).alias("s"))
+    walks = steps.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["s"]), ",").alias("walk"))
+    return walks.select(F.concat_ws("\t", F.lit("P"), "name", "walk", F.lit("*")).alias("value"))
+
+
+def from_sequences(seqs: DataFrame) -> DataFrame:
+    """value: read_id, sequence as a graph of one segment and one path each."""
+    s = F.concat_ws("\t", F.lit("S"), "read_id", "sequence")
+    p = F.concat_ws("\t", F.lit("P"), "read_id", F.concat("read_id", F.lit("+")), F.lit("*"))
+    return seqs.select(F.explode(F.array(s, p)).alias("value"))
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """segments, links and steps of a graph file, by the file's name: .gfa (or .gfa.gz) only."""
+    if not path.lower().removesuffix(".gz").endswith(".gfa"):
+        raise ValueError(f"no graph format is known for {path}")
+    rows = lines(spark, path)
+    return {"segments": segments(rows), "links": links(rows), "steps": path_steps(rows)}

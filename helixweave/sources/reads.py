@@ -53,3 +53,29 @@ def pore_model(spark: SparkSession, path: str, normalize: bool = False) -> DataF
         stat = rows.agg(F.avg("level").alias("m"), F.stddev_pop("level").alias("s"))  # one row
         rows = rows.crossJoin(F.broadcast(stat)).select("kmer", ((F.col("level") - F.col("m")) / F.col("s")).alias("level"))
     return rows
+
+
+#: What reads each kind of file.
+PROVIDERS = {".slow5": slow5, ".fastq": sequences, ".fq": sequences, ".fasta": sequences, ".fa": sequences}
+
+
+def provider(path: str):
+    """The reader of a file by its name (.gz aside); binary signal files are named, as no reader of theirs is at hand."""
+    name = path.lower().removesuffix(".gz")
+    found = next((f for end, f in PROVIDERS.items() if name.endswith(end)), None)
+    if found is None:
+        raise ValueError(f"{path}: convert binary signal files to .slow5 first" if name.endswith((".blow5", ".pod5")) else f"no reader for {path}")
+    return found
+
+
+def coordinates(spark: SparkSession, path: str) -> DataFrame:
+    """node, start, end of a layout table with a header and two rows (idx, X, Y) for each node: its start, then its end."""
+    rows = spark.read.option("sep", "\t").option("header", "true").schema("idx long, X double, Y double").csv(path)
+    at = lambda k: F.max(F.when(F.col("idx") % 2 == k, F.col("X")))
+    return rows.groupBy(F.floor(F.col("idx") / 2).alias("node")).agg(at(0).alias("start"), at(1).alias("end"))
+
+
+def coordinate_lines(layout: DataFrame) -> DataFrame:
+    """idx, X, Y of node, start, len: the end is the start and the length."""
+    ends = F.array(F.struct((F.col("node") * 2).alias("idx"), F.col("start").alias("X")), F.struct((F.col("node") * 2 + 1).alias("idx"), (F.col("start") + F.col("len")).alias("X")))
+    return layout.select(F.explode(ends).alias("e")).select("e.idx", "e.X", F.lit(0.0).alias("Y"))

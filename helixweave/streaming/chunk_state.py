@@ -6,12 +6,11 @@ micro-batch; the sink keeps the last state of each read. A batch's rows of one r
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixweave.functions.signal import in_pa_range
+from helixweave.store import fresh_folder
 
 OUT = "read long, n long, total double, chunks long"
 STATE = "n long, total double"
@@ -41,10 +40,7 @@ def run(views, chunk: int) -> DataFrame:
     events = views.table("events")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").format("parquet").load(_folder(views))
     samples = stream.where(in_pa_range(F.col("value"))).select(F.col("user_id").alias("read"), F.col("value").alias("pa"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="helixweave-")
-    import uuid
-
-    where = f"{base.rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    where = fresh_folder(spark, "chunks")
     (states(samples, chunk).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{where}/state")
      .foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{where}/out/batch={n}")).start().awaitTermination())
     last = spark.read.schema(f"{OUT}").parquet(f"{where}/out").groupBy("read").agg(F.max_by(F.struct("n", "total", "chunks"), "n").alias("s"))
