@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -141,6 +144,35 @@ def survivor_hits(v):
     return chaining.kept_hits(hits, chaining.survivors(_anchors(v), 12, _cfg())).select("read", "q", "hash")
 
 
+_DEAD = "greatest(abs(dr - dq) - floor(0.05 * least(dr, dq)), 0)"
+_LINK2 = f"least(12, least(dr, dq)) - CASE WHEN {_DEAD} > 0 OR least(dr, dq) > 12 THEN CAST(floor({0.8 * 0.01 * 12} * {_DEAD} + 0.5 * log2({_DEAD} + 1.0)) AS BIGINT) ELSE 0 END".replace("dr", _DR).replace("dq", _DQ)
+
+
+def _layout_tree(sign: str, name: str) -> str:
+    """CTEs of the exact programme over anchors on the layout, in one direction; the last is <name>one."""
+    grp, tail = _TREE[_TREE.index("grp AS"):].split("chains2 AS")[0].rsplit(",", 1)[0].split("tree(read", 1)
+    sql = (grp + "tree(read" + tail).replace("FROM anchors", f"FROM (SELECT read, path % 10 AS path, {sign}(path * 4000 + ref * 2) AS ref, q FROM anchors)").replace(_LINK, _LINK2)
+    sql = sql[: sql.index("ord AS")].rstrip().rstrip(",")
+    for cte in ("grp", "tree", "ends", "one"):
+        sql = re.sub(rf"\b{cte}\b", f"{name}{cte}", sql)
+    return sql
+
+
+_TOP10 = "row_number() OVER (PARTITION BY read, path ORDER BY f[e] DESC, e) <= 10"
+
+
+@query(f"""{_ANCHORS}, {_layout_tree('', 'x')}, {_layout_tree('-', 'y')}, al AS (SELECT read, path, f[e] AS score, c[e] AS anchors, qs[r[e]] AS q_start, qs[e] + 12 AS q_end, rs[r[e]] AS ref_start, rs[e] AS ref_end, FALSE AS backward FROM xone QUALIFY {_TOP10}
+UNION ALL SELECT read, path, f[e], c[e], qs[r[e]], qs[e] + 12, -rs[e], -rs[r[e]], TRUE FROM yone QUALIFY {_TOP10}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY score DESC, path, backward, q_start, ref_start) - 1 AS rank FROM al)
+SELECT read, path, rank, CAST(score AS DOUBLE) AS score, anchors, q_start, q_end, CAST(ref_start AS DOUBLE) AS ref_start, CAST(ref_end AS DOUBLE) AS ref_end, backward FROM rk WHERE rank < 10""", "items docs")
+def chain_sort(v):
+    hits = _anchors(v).select("read", F.col("path").alias("node"), F.col("ref").alias("offset"), "q")
+    # documents one after another on ten components, at two places for each base
+    at = F.col("read") * 4000
+    layout = v.docs().select(F.col("read").alias("node"), (F.col("read") % 10).alias("component"), at.cast("double").alias("start"), (at + F.length("seq") * 2).cast("double").alias("end"), F.length("seq").alias("len"))
+    return chaining.layout_chains(chaining.on_layout(hits, layout), 12, dataclasses.replace(_cfg(), tolerance=0.05))
+
+
 _BYREAD = f"""{_TREE}, lens AS (SELECT read, length(seq) AS n FROM items), plens AS (SELECT read AS path, length(seq) AS n FROM docs),
 src AS (SELECT c.*, row_number() OVER (PARTITION BY read ORDER BY score DESC, path, q_start, ref_start) AS chain FROM chains2 c),
 {_RANKED.format('(SELECT read, chain, score, anchors FROM src)', _MAPQ)}, {_DECIDED},
@@ -149,16 +181,7 @@ rec AS (SELECT lens.read, lens.n AS read_len, src.* EXCLUDE (read, rank, chain,
 
 
 def _chain_records(v):
-    """Every read with its ranked chains, or with none."""
-    found = chaining.chains(_anchors(v), 12, _cfg()).drop("rank")
-    found = records.best_first(found).withColumn("chain", F.col("rank") + 1).drop("rank", "n_chains")
-    ranked = decide.with_mapq(decide.ranked(found))
-    decided = decide.decided(decide.standout(ranked.select("read", "chain", "score", "anchors", "mapq"))).select("read", "n_chains", "standout", "decision")
-    lens = v.items().select("read", F.length("seq").cast("long").alias("read_len"))
-    plens = v.docs().select(F.col("read").alias("path"), F.length("seq").cast("long").alias("path_len"))
-    rows = lens.join(ranked.join(plens, "path"), "read", "left").join(decided, "read", "left")
-    return rows.withColumns({"decision": F.coalesce("decision", F.lit("U")), "rank": F.coalesce("rank", F.lit(0)), "n_chains": F.coalesce("n_chains", F.lit(0)), "standout": F.coalesce("standout", F.lit(0.0)),
-                             "path": F.concat(F.lit("doc"), F.col("path").cast("string")), "walk": F.concat(F.lit(">"), F.col("path").cast("string")), "matches": F.col("anchors") * 12, "chunks": F.lit(1)})
+    return mapping.chain_records(v.items(), v.docs(), prefix="doc")
 
 
 def _f(x: str, digits: int) -> str:
@@ -263,7 +286,7 @@ def path_components(v):
 
 
 @query(f"{_STEPS2}, lab AS (SELECT node, min(node) OVER (PARTITION BY path) AS label, CAST(node * 3 AS DOUBLE) AS x FROM steps2) SELECT node, label, x - min(x) OVER (PARTITION BY label) AS x FROM lab")
-def layout_zero_based(v):
+def component_zero_base(v):
     steps = _order_steps(v)
     layout = steps.select("node", (F.col("node") * 3).cast("double").alias("x"))
     return graph.zero_based(layout, graph.components(graph.path_links(steps)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,13 @@ class ChainConfig:
     min_anchors: int = 2
     secondary_ratio: float = 0.3
     max_chains: int = 10
+    #: Share of a link's length that its two distances may differ by without a penalty; penalty for leaving the chain's slope.
+    tolerance: float = 0.0
+    slope: float = 0.0
 
     def scaled(self, k: int) -> ChainConfig:
         """Penalties for each base become penalties for each k-mer."""
-        return ChainConfig(self.max_dist, self.band, self.gap * 0.01 * k, self.skip * 0.01 * k, self.min_score, self.min_anchors, self.secondary_ratio, self.max_chains)
+        return replace(self, gap=self.gap * 0.01 * k, skip=self.skip * 0.01 * k)
 
 
 def link_score(span: Column, dr: Column, dq: Column, cfg: ChainConfig) -> Column:
@@ -43,21 +46,27 @@ def band_pairs(anchors: DataFrame, cfg: ChainConfig, group: str = "grp") -> Data
 
 
 def chain_scores(ref: np.ndarray, q: np.ndarray, span: int, cfg: ChainConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Best score of a chain that ends at each anchor (in order of ref, q) and its predecessor (-1: none)."""
+    """Best score of a chain that ends at each anchor (in order of ref, q) and its predecessor (-1: none). Exact: every anchor in reach is tried."""
     n = len(ref)
-    f, back = np.full(n, float(span)), np.full(n, -1)
+    f, back, slope = np.full(n, float(span)), np.full(n, -1), np.zeros(n)
     for i in range(1, n):
         low = np.searchsorted(ref, ref[i] - cfg.max_dist)
-        dr, dq = ref[i] - ref[low:i], q[i] - q[low:i]
-        dd, dg = np.abs(dr - dq), np.minimum(dr, dq)
-        ok = (dr > 0) & (dq > 0) & (dq <= cfg.max_dist) & (dd <= cfg.band)
+        dr, dq = np.floor(ref[i] - ref[low:i] + 0.5), q[i] - q[low:i]
+        dg, apart = np.minimum(dr, dq), np.abs(dr - dq)
+        dd = np.maximum(apart - np.floor(cfg.tolerance * dg), 0)
+        ok = (ref[low:i] < ref[i]) & (dq > 0) & (dq <= cfg.max_dist) & (apart <= cfg.band)
         if not ok.any():
             continue
         cost = np.floor(cfg.gap * dd + cfg.skip * dg + 0.5 * np.log2(dd + 1.0))
-        got = np.where(ok, f[low:i] + np.minimum(span, dg) - np.where((dd != 0) | (dg > span), cost, 0), -np.inf)
+        got = f[low:i] + np.minimum(span, dg) - np.where((dd != 0) | (dg > span), cost, 0)
+        if cfg.slope:
+            turn = np.abs(dr / np.where(dq == 0, 1, dq) - slope[low:i])
+            got -= np.where(back[low:i] >= 0, np.floor(cfg.slope * turn * dg), 0)
+        got = np.where(ok, got, -np.inf)
         best = int(np.argmax(got))
         if got[best] > f[i]:
             f[i], back[i] = got[best], low + best
+            slope[i] = (ref[i] - ref[back[i]]) / (q[i] - q[back[i]])
     return f, back
 
 
@@ -117,11 +126,12 @@ def by_group(anchors: DataFrame, cfg: ChainConfig, kernel, shape: str) -> DataFr
             cuts = [*np.flatnonzero(new.to_numpy()).tolist(), len(pdf)]
             rows = [r for a, b in zip(cuts[:-2], cuts[1:-1], strict=True) for r in kernel(pdf["read"].iat[a], pdf["path"].iat[a], pdf["ref"].to_numpy()[a:b], pdf["q"].to_numpy()[a:b])]
             held = pdf.iloc[cuts[-2]:] if len(cuts) > 1 else None
-            yield pd.DataFrame(rows, columns=names)
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
         if held is not None and len(held):
             yield pd.DataFrame(kernel(held["read"].iat[0], held["path"].iat[0], held["ref"].to_numpy(), held["q"].to_numpy()), columns=names)
 
-    at = anchors.select("read", "path", F.col("ref").cast("long").alias("ref"), F.col("q").cast("long").alias("q"))
+    at = anchors.select("read", "path", "ref", F.col("q").cast("long").alias("q"))
     return at.repartition("read", "path").sortWithinPartitions("read", "path", "ref", "q").mapInPandas(run, shape)
 
 
@@ -154,3 +164,28 @@ def best_scores(anchors: DataFrame, span: int, cfg: ChainConfig) -> DataFrame:
         return [(read, path, len(f), float(f.max()))]
 
     return by_group(anchors, cfg, kernel, "read long, path long, n long, score double")
+
+
+def on_layout(hits: DataFrame, layout: DataFrame) -> DataFrame:
+    """hits: read, node, offset, q. read, path (the component), ref, q: places on the layout (node, component, start, end, len); offsets are scaled by a node's length there, if it has one."""
+    width = F.col("end") - F.col("start")
+    ref = F.col("start") + F.col("offset") * F.when((F.col("len") > 0) & (width > 0), width / F.col("len")).otherwise(1.0)
+    return hits.join(layout, "node").select("read", F.col("component").alias("path"), ref.cast("double").alias("ref"), "q")
+
+
+def layout_chains(placed: DataFrame, span: int, cfg: ChainConfig, both_ways: bool = True) -> DataFrame:
+    """placed: read, path (component), ref, q. The best chains of each read over all components, with both_ways also those along which ref falls: rank, path, score, anchors, ends on both sides, backward."""
+    def one(rows: DataFrame, backward: bool) -> DataFrame:
+        def kernel(read, path, ref, q):
+            # every tree's best path counts here, whatever the best one scores
+            for score, walk in extracted(ref, q, span, replace(cfg, secondary_ratio=0.0)):
+                a, b = sorted((abs(float(ref[walk[0]])), abs(float(ref[walk[-1]])))) if backward else (float(ref[walk[0]]), float(ref[walk[-1]]))
+                yield read, path, score, len(walk), int(q[walk].min()), int(q[walk].max()) + span, a, b, backward
+
+        return by_group(rows, cfg, kernel, "read long, path long, score double, anchors long, q_start long, q_end long, ref_start double, ref_end double, backward boolean")
+
+    found = one(placed, False)
+    if both_ways:
+        found = found.unionByName(one(placed.withColumn("ref", -F.col("ref")), True))
+    order = Window.partitionBy("read").orderBy(F.desc("score"), "path", "backward", "q_start", "ref_start")
+    return found.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < cfg.max_chains)

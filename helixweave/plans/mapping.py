@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixweave.operators import chaining, decide, index, seeds
 from helixweave.operators.chaining import ChainConfig
+from helixweave.sinks.records import best_first
 from helixweave.sources.index_store import Index, save
 from helixweave.store import fresh_folder
 
@@ -38,3 +39,19 @@ def mapped(reads: DataFrame, paths: DataFrame, k: int = K, w: int = W, cfg: Chai
     best = chaining.best_scores(anchors(reads, paths, k, w), k, cfg).where(F.col("score") >= cfg.min_score)
     chains = decide.with_mapq(decide.ranked(best.select("read", F.col("path").alias("chain"), "score", F.col("n").alias("anchors"))))
     return decide.decided(decide.standout(chains)).withColumnRenamed("chain", "path")
+
+
+def chain_records(reads: DataFrame, paths: DataFrame, built: Index | None = None, prefix: str = "", cfg: ChainConfig | None = None) -> DataFrame:
+    """reads and paths: read, seq. Every read with its ranked chains and its decision, or with none, as ``sinks.records`` takes them; paths are named by prefix and number."""
+    built = built or stored_index(paths)
+    found = chaining.chains(anchors(reads, built), built.k, cfg or ChainConfig().scaled(built.k)).drop("rank")
+    found = best_first(found).withColumn("chain", F.col("rank") + 1).drop("rank", "n_chains")
+    ranked = decide.with_mapq(decide.ranked(found))
+    decided = decide.decided(decide.standout(ranked.select("read", "chain", "score", "anchors", "mapq"))).select("read", "n_chains", "standout", "decision")
+    lens = reads.select("read", F.length("seq").cast("long").alias("read_len"))
+    path_lens = paths.select(F.col("read").alias("path"), F.length("seq").cast("long").alias("path_len"))
+    rows = lens.join(ranked.join(path_lens, "path"), "read", "left").join(decided, "read", "left")
+    return rows.withColumns({
+        "decision": F.coalesce("decision", F.lit("U")), "rank": F.coalesce("rank", F.lit(0)), "n_chains": F.coalesce("n_chains", F.lit(0)), "standout": F.coalesce("standout", F.lit(0.0)),
+        "path": F.concat(F.lit(prefix), F.col("path").cast("string")), "walk": F.concat(F.lit(">"), F.col("path").cast("string")), "matches": F.col("anchors") * built.k, "chunks": F.lit(1),
+    })

@@ -15,19 +15,6 @@ def short_line() -> Column:
                        F.col("mapq").cast("string"), F.concat(F.lit("dc:A:"), F.col("decision")))
 
 
-def mapped_line() -> Column:
-    """Twelve columns and tags of a mapped record: read, read_len, q_start, q_end, strand, walk, path_len, ref_start, ref_end, matches, mapq; path, score, anchors, decision."""
-    cols = [F.col(c).cast("string") for c in ("read", "read_len", "q_start", "q_end", "strand", "walk", "path_len", "ref_start", "ref_end", "matches")]
-    span = (F.col("ref_end") - F.col("ref_start")).cast("string")
-    tags = [F.concat(F.lit("tp:A:P")), F.concat(F.lit("pn:Z:"), F.col("path")), F.format_string("cs:f:%.3f", F.col("score")), F.concat(F.lit("an:i:"), F.col("anchors").cast("string")), F.concat(F.lit("df:A:"), F.col("decision"))]
-    return F.concat_ws(TAB, *cols, span, F.col("mapq").cast("string"), *tags)
-
-
-def unmapped_line() -> Column:
-    star = F.lit("*")
-    return F.concat_ws(TAB, F.col("read").cast("string"), F.col("read_len").cast("string"), star, star, star, star, star, star, star, F.lit("0"), F.lit("0"), F.lit("0"), F.lit("tp:A:U"))
-
-
 def parsed(lines: DataFrame) -> DataFrame:
     """value: GAF lines. The twelve columns and tags as map<string, string>; comments and short lines skipped."""
     f = lines.where(~F.col("value").startswith("#")).select(F.split("value", TAB).alias("f")).where(F.size("f") >= 12)

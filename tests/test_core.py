@@ -228,3 +228,20 @@ def test_stream_in_several_batches(spark, tmp_path):
     assert out.select("batch").distinct().count() >= 3
     last = {r.read: (r.n, r.total) for r in out.groupBy("read").agg(F.max_by(F.struct("n", "total"), "n").alias("s")).select("read", "s.*").collect()}
     assert last == {k: (100, sum(p for _, r, p in rows if r == k)) for k in range(3)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from helixweave.__main__ import main
+
+    rng = np.random.default_rng(9)
+    seqs = ["".join(rng.choice(list("ACGT"), 600)) for _ in range(3)]
+    (tmp_path / "p.fa").write_text("".join(f">p{k}\n{s}\n" for k, s in enumerate(seqs)))
+    (tmp_path / "r.fa").write_text(f">hit\n{seqs[1][100:300]}\n>none\n{'ACGT' * 10}\n")
+    where = str(tmp_path / "index")
+    main(["index", str(tmp_path / "p.fa"), where], spark)
+    main(["inspect", where], spark)
+    assert "mode base, k 12, w 3" in capsys.readouterr().out
+    main(["map", where, str(tmp_path / "r.fa"), str(tmp_path / "out.gaf")], spark)
+    lines = {r.value.split("\t")[0]: r.value.split("\t") for r in spark.read.text(str(tmp_path / "out.gaf")).collect()}
+    hit = lines["hit"]
+    assert hit[12] == "pn:Z:p1" and 100 <= int(hit[7]) < 120 and 280 < int(hit[8]) <= 300 and lines["none"][5] == "*"
