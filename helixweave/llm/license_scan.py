@@ -131,7 +131,7 @@ def license_scan(docs: DataFrame, known=None, id_col: str = "doc_id", text_col:
     )
     found = (digests.join(table, "digest").groupBy("id")
              .agg(F.max(F.when(F.col("whole"), F.col("license"))).alias("whole_license"), F.collect_set("license").alias("found")))
-    return docs.select(F.col(id_col)).join(found, F.col(id_col).eqNullSafe(F.col("id")), "left").select(
-        id_col, "whole_license", F.array_join(F.sort_array(F.coalesce("found", F.array().cast("array<string>"))), ",").alias("licenses"),
+    return docs.select(F.col(id_col).alias("asked")).join(found, F.col("asked").eqNullSafe(F.col("id")), "left").select(
+        F.col("asked").alias(id_col), "whole_license", F.array_join(F.sort_array(F.coalesce("found", F.array().cast("array<string>"))), ",").alias("licenses"),
         F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_licenses"),
     )

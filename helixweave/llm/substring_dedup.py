@@ -173,7 +173,6 @@ def suspects(span: int, blocks: int):
         u1, u2, first = h1[order][begin], h2[order][begin], doc[order][begin]
         told = dict(zip(replies["block"].to_pylist(), replies["payload"].to_pylist(), strict=True))
         sent = np.zeros(len(u1), bool)
-        null = ids[0] is None
         known = np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)
         chunk, out = docs["chunk"][0].as_py(), []
         for block, a, b in ranges(block_of(u1, blocks)):
@@ -187,7 +186,6 @@ def suspects(span: int, blocks: int):
             s = a + np.flatnonzero(hit)
             if len(s):
                 out.append((block, len(s).to_bytes(4, "little") + u1[s].tobytes() + u2[s].tobytes() + squeezed(known[first[s]])))
-        del null
         out.append((-1 - chunk, np.packbits(sent).tobytes()))  # comes back with the replies
         return table(chunk=[chunk] * len(out), block=[b for b, _ in out], payload=[p for _, p in out])
 

@@ -32,3 +32,9 @@ def test_each_text_is_found(spark):
     rows = [(k, t) for k, (_, t) in enumerate(license_scan.texts())]
     got = {r.doc_id: r.whole_license for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: i for k, (i, _) in enumerate(license_scan.texts())}
+
+
+def test_ids_named_id(spark):
+    rows = spark.createDataFrame([(1, "released under the MIT license"), (None, "x"), (2, None)], "id long, text string").selectExpr("*", "'a' as license", "'b' as digest", "'c' as asked")
+    assert {r.id: r.licenses for r in license_scan.license_scan(rows, id_col="id").collect()} == {1: "MIT", None: "", 2: ""}
+    assert license_scan.license_scan(rows.where("false"), id_col="id").count() == 0
