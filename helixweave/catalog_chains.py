@@ -353,15 +353,17 @@ tl AS (SELECT path, list(CAST(token AS BIGINT) ORDER BY pos) AS t FROM tk GROUP
 seqs AS (SELECT path, string_agg(s, '' ORDER BY step) AS seq FROM known GROUP BY path), {_SIG}, {_hash('h0', 32)} SELECT hash, count(*) AS n FROM h4 GROUP BY hash""", "steps nodes")
 def signal_index(v):
     """Paths as levels, tokens, seeds and a stored index: how often each hash occurs."""
-    seqs = graph.path_sequences(v.steps(), v.nodes()).where(F.length("seq") >= 3)
-    codes = F.transform(F.sequence(F.lit(1), F.length("seq") - 2), lambda p: base_code(F.substring(F.col("seq"), p, F.lit(3))))
+    seqs = graph.path_sequences(v.steps(), v.nodes()).where(F.length("seq") >= 6)
+    # a seed is four neighbouring tokens of three bases each: of six bases, so each of the 4^6 is worked out once
+    digit = lambda k: F.substring(F.lit("ACGT"), F.pmod(F.shiftright("id", 2 * k), F.lit(4)).cast("int") + 1, F.lit(1))
+    six = v.spark.range(4**6).select(F.concat(*[digit(k) for k in reversed(range(6))]).alias("bases"))
     # levels of a made-up pore model
-    tokens = F.transform(codes, lambda c: sigfn.adaptive_token(((c * 37) % 101 - 50).cast("double") / 17.0))
-    at = seqs.select("path", tokens.alias("tokens")).select("path", F.posexplode("tokens").alias("pos", "token"))
-    order = Window.partitionBy("path").orderBy("pos")
-    four = [F.lead("token", k).over(order) for k in range(4)]
-    code = (four[0] * 4096 + four[1] * 256 + four[2] * 16 + four[3]).alias("code")
-    found = with_hash(at.select(F.col("path").alias("node"), F.col("pos").cast("long").alias("offset"), code).where("code is not null"), "code", 32)
+    token = lambda k: sigfn.adaptive_token(((base_code(F.substring("bases", k, 3)) * 37) % 101 - 50).cast("double") / 17.0)
+    code = token(1) * 4096 + token(2) * 256 + token(3) * 16 + token(4)
+    known = with_hash(six.select("bases", code.alias("code")), "code", 32).select("bases", "hash")
+    at = seqs.select(F.col("path").alias("node"), "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 5)).alias("p"))
+    at = at.select("node", (F.col("p") - 1).cast("long").alias("offset"), F.substring(F.col("seq"), F.col("p"), F.lit(6)).alias("bases"))
+    found = at.join(F.broadcast(known), "bases")
     where = fresh_folder(v.spark, "index")
-    index_store.save(found.select("hash", "node", "offset"), where, "signal", 4, 1, 4)
+    index_store.save(found.select("hash", "node", "offset"), where, "signal", 4, 1, 4, unique=True)
     return index_store.Index(v.spark, where, "signal").counts

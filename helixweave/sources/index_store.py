@@ -12,10 +12,14 @@ from helixweave.store import written
 VERSION = 1
 
 
-def save(seeds: DataFrame, where: str, mode: str, k: int, w: int, bits: int = 2, stride: int = 1) -> None:
-    """seeds: hash, node, offset. Tables entries, counts and meta under where; entries are in order of hash, so a reader of few hashes skips row groups."""
+def save(seeds: DataFrame, where: str, mode: str, k: int, w: int, bits: int = 2, stride: int = 1, unique: bool = False) -> None:
+    """seeds: hash, node, offset. Tables entries, counts and meta under where; each file of entries is in order of hash, so a reader of few hashes skips row groups.
+
+    unique: no seed comes twice and there are few different hashes, so seeds are neither compared nor dealt by hash; each task writes its own.
+    """
     spark = seeds.sparkSession
-    entries = written(index.entries(seeds).repartitionByRange("hash").sortWithinPartitions("hash", "node", "offset"), f"{where}/entries")
+    found = seeds.select("hash", "node", "offset") if unique else index.entries(seeds).repartitionByRange("hash")
+    entries = written(found.sortWithinPartitions("hash", "node", "offset"), f"{where}/entries")
     index.frequencies(entries).write.mode("overwrite").parquet(f"{where}/counts")
     spark.createDataFrame([(VERSION, mode, k, w, bits, stride)], "version int, mode string, k int, w int, bits int, stride int").write.mode("overwrite").parquet(f"{where}/meta")
 
