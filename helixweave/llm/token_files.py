@@ -86,6 +86,7 @@ def write(docs: DataFrame, where: str, path: str | None = None, end_id: int = 1,
     table = spark.sparkContext.broadcast((freq, scale_bits))
 
     def blocks(batches):
+        wordbpe.load.cache_clear()  # a worker that has encoded texts before holds the words of then
         coder = rans.Table(*table.value)
         shard = TaskContext.get().partitionId()
         pieces: list[tuple] = []
@@ -128,6 +129,7 @@ def read(spark: SparkSession, where: str) -> DataFrame:
     table = spark.sparkContext.broadcast((np.array(freq, np.int64), bits))
 
     def decode(batches):
+        wordbpe.load.cache_clear()
         coder = rans.Table(*table.value)
         for batch in batches:
             for shard, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
